@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import pii, quality, sharding
+from loomrec.llm import encoding, packing, pii, quality, sharding, simhash
 from loomrec.llm.common import read_table
 
 
@@ -20,9 +20,30 @@ def op10_pii_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(read_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_ranked_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.ranked_id_digest(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op8_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicate_digest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op3_ranked_token_ids": op3_ranked_token_ids,
+    "op6_residual_packing": op6_residual_packing,
     "op7_line_first_quality": op7_line_first_quality,
+    "op8_deletion_variant_simhash": op8_deletion_variant_simhash,
     "op10_pii_checksums": op10_pii_checksums,
 }
 ORACLE_SQL: dict[str, str] = {}
