@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import encoding, packing, pii, quality, sharding, simhash
+from loomrec.llm import decontaminate, encoding, packing, pii, quality, sharding, simhash, toxicity
 from loomrec.llm.common import read_table
 
 
@@ -38,12 +38,22 @@ def op8_deletion_variant_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_digest(read_table(spark, sf_dir, "documents"))
 
 
+def op4_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_digest(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op9_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op3_ranked_token_ids": op3_ranked_token_ids,
+    "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
     "op6_residual_packing": op6_residual_packing,
     "op7_line_first_quality": op7_line_first_quality,
     "op8_deletion_variant_simhash": op8_deletion_variant_simhash,
+    "op9_minhash_decontamination": op9_minhash_decontamination,
     "op10_pii_checksums": op10_pii_checksums,
 }
 ORACLE_SQL: dict[str, str] = {}
