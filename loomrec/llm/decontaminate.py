@@ -76,7 +76,8 @@ def contained_items(docs: DataFrame, items: DataFrame) -> DataFrame:
             ceiling = F.lit(-(2**63))
             for r in of_width:  # the highest ceiling among the size partitions that this document can hold
                 ceiling = F.greatest(ceiling, F.when(F.size(w) - width + 1 >= r["least"], F.lit(r["ceiling"])).otherwise(F.lit(-(2**63))))
-            parts.append(let(ceiling, lambda c, n=width: F.filter(window_hashes(w, n), lambda h: h <= c)))
+            hashes = window_hashes(w, width)
+            parts.append(let(ceiling, lambda c: F.filter(hashes, lambda h: h <= c)))  # noqa: B023
         return F.concat(*parts)
 
     n_signature = sum(r["n"] for r in limits)
