@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import decontaminate, encoding, packing, pii, quality, sharding, simhash, toxicity
+from loomrec.llm import class_lm, decontaminate, encoding, packing, pii, quality, sharding, simhash, toxicity
 from loomrec.llm.common import read_table
 
 
@@ -46,8 +46,13 @@ def op9_minhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_brown_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.class_scores(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
+    "op2_brown_class_bigrams": op2_brown_class_bigrams,
     "op3_ranked_token_ids": op3_ranked_token_ids,
     "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
     "op6_residual_packing": op6_residual_packing,
