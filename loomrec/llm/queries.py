@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import class_lm, decontaminate, encoding, packing, pii, quality, sharding, simhash, toxicity
+from loomrec.llm import class_lm, decontaminate, encoding, packing, pages, pii, quality, sharding, simhash, toxicity
 from loomrec.llm.common import read_table
 
 
@@ -50,11 +50,16 @@ def op2_brown_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.class_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op5_nearest_url_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_brown_class_bigrams": op2_brown_class_bigrams,
     "op3_ranked_token_ids": op3_ranked_token_ids,
     "op4_weak_supervision_toxicity": op4_weak_supervision_toxicity,
+    "op5_nearest_url_main_text": op5_nearest_url_main_text,
     "op6_residual_packing": op6_residual_packing,
     "op7_line_first_quality": op7_line_first_quality,
     "op8_deletion_variant_simhash": op8_deletion_variant_simhash,
