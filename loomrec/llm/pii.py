@@ -185,17 +185,28 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def mask_pii(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; of overlapping spans the first one's mask stands for all.
-    Linear in the text: it is cut once at code points by one pass over the spans' gaps."""
-
-    def build(s: Column) -> Column:
-        reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(s, F.greatest(F.lit(1), i - 15), F.least(i, F.lit(16))), lambda x: x["end"])), F.lit(0))
-        piece = lambda x, i: F.concat(
-            let(F.when(i == 0, F.lit(0).cast("long")).otherwise(reach(i)), lambda a: F.when(x["start"] > a, text.substr((a + 1).cast("int"), (x["start"] - a).cast("int"))).otherwise(F.lit(""))),
-            F.when((i > 0) & (x["start"] < reach(i)), F.lit("")).otherwise(F.concat(F.lit("["), F.upper(x["kind"]), F.lit("]"))),
-        )
-        tail = let(F.array_max(F.transform(s, lambda x: x["end"])), lambda a: text.substr((a + 1).cast("int"), F.char_length(text)))
-        return F.concat(F.array_join(F.transform(s, piece), ""), tail)
-
-    return F.when(F.size(spans) == 0, text).otherwise(let(spans, build))
+def mask_pii(text: Column) -> Column:
+    """The text with personal data replaced by its kind in brackets, kind after kind; linear in the text: the pieces
+    between matches are joined with a mask where the match is accepted, with the match itself where it is not."""
+
+    def mask(kind: str, t: Column) -> Column:
+        def build(pieces: Column) -> Column:
+            def rejoin(matches: Column) -> Column:
+                def part(piece: Column, i: Column) -> Column:
+                    m = F.coalesce(F.get(matches, i), F.lit(""))
+                    score = F.lit(PATTERN_SCORE[kind] + (CHECKED if kind in ("card", "iban") else 0))
+                    score = score + F.when(F.lower(F.right(piece, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind]), F.lit(NEARBY)).otherwise(F.lit(0.0))
+                    sure = accepted(kind, m) if kind in BASE_KINDS else accepted(kind, m) & (score >= THRESHOLD)
+                    return F.concat(piece, F.when(m == "", m).when(sure, F.lit(f"[{kind.upper()}]")).otherwise(m))
+
+                return F.array_join(F.transform(pieces, part), "")
+
+            return let(F.regexp_extract_all(t, F.lit(PATTERNS[kind]), 0), rejoin)
+
+        gate = F.contains(t, F.lit(GATES[kind])) if kind in GATES else t.rlike("[0-9]")
+        return F.when(gate, let(F.split(t, PATTERNS[kind], -1), build)).otherwise(t)
+
+    out = text
+    for kind in KINDS:
+        out = let(out, lambda t: mask(kind, t))  # noqa: B023  called at once
+    return out

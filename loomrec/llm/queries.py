@@ -54,6 +54,12 @@ def op5_nearest_url_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(read_table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_hilbert_sharding": op1_hilbert_sharding,
     "op2_brown_class_bigrams": op2_brown_class_bigrams,
@@ -65,5 +71,6 @@ QUERIES = {
     "op8_deletion_variant_simhash": op8_deletion_variant_simhash,
     "op9_minhash_decontamination": op9_minhash_decontamination,
     "op10_pii_checksums": op10_pii_checksums,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFr
 
     small_batches(docs.sparkSession)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["fp long"])
-    return docs.select(*keep, F.col(text).cast("binary")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
 def segment_widths(max_differing: int, bits: int = BITS) -> list[int]:
@@ -83,8 +83,8 @@ def fingerprint_links(classes: DataFrame, max_differing: int = MAX_DIFFERING) ->
     return left.join(right, (F.col("ka") == F.col("kb")) & sides & close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the smallest doc_id reachable over links of at most
+def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` (doc_id among them), fp and component_id of every row; component_id is the smallest doc_id reachable over links of at most
     ``max_differing`` bits.
 
     Equal fingerprints are one class before anything is joined, so copies cost one row however many they are; links and
@@ -92,14 +92,24 @@ def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING) -> Data
     each get a row; an empty table gives none; a component of null ids alone has a null id. Tables in the shared folder
     hold fingerprints and links, so nothing is hashed twice.
     """
-    marked = stored(fingerprints(docs, ["doc_id"]), "fingerprints")
+    marked = stored(fingerprints(docs, list(keep)), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
     roots = components(fingerprint_links(classes, max_differing))
     placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
     firsts = placed.filter("linked").groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_class = placed.join(firsts, "root", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return marked.join(of_class, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(of_class, "fp").select(*keep, "fp", "component_id")
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, max_differing: int = MAX_DIFFERING) -> DataFrame:
+    """One document of each group stays: the one whose id names the component. Rows equal in id and text count as one; a
+    null id stays only in a component of null ids. The documents are shuffled once, by id, to meet the verdicts."""
+    key = F.xxhash64("text")
+    found = near_duplicates(docs.select("doc_id", "text", key.alias("text_key")), max_differing, ("doc_id", "text_key"))
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
+    joined = docs.withColumn("__key", key).join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
+    return joined.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)

@@ -209,7 +209,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str], text: st
 
     small_batches(docs.sparkSession)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "predicted int"])
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
