@@ -179,7 +179,7 @@ def fit(rows: list[tuple[str, int]]) -> tuple[list[str], np.ndarray]:
     voters = Voters(learned)
     if not rows:
         weights = np.zeros(len(voters.names) + 1)
-        weights[-2], weights[-1] = 8.0, -8.0
+        weights[-2], weights[-1] = 16.0, -8.0
         return learned, weights
     features = np.array([voters.features(t) for t, _ in rows])
     balance = sum(y for _, y in rows) / len(rows)
