@@ -70,20 +70,23 @@ class PieceEncoder:
         """Ids of each key. Plain pieces go to the library joined, and come apart by the bytes of the tokens (kind byte) or
         at a mark between them (kind word): a call for each would cost more than the encoding."""
         found: dict[str, list[int]] = {}
-        plain = [k for k in keys if k[:1] not in ("", "\1", "\2", "\n")]
+        byte = self.cut == self._cut_byte
+        # a text's first piece is encoded behind a newline, whose one id is left out
+        plain = [k for k in keys if len(k) > 1 and k[0] != "\2" and not (k[0] == "\1" and k[1] == "\n")] if byte else [k for k in keys if k[:1] not in ("", "\1", "\2")]
         for i in range(0, len(plain), JOINED):
             part = plain[i : i + JOINED]
-            if self.cut == self._cut_byte:
-                ids = self.tokenizer.encode_batch_fast(["".join(" " + k for k in part)], add_special_tokens=False)[0].ids
+            if byte:
+                literal = ["\n" + k[1:] if k[0] == "\1" else self._literal(k) for k in part]
+                ids = self.tokenizer.encode_batch_fast(["".join(literal)], add_special_tokens=False)[0].ids
                 ends = np.cumsum(self.n_bytes[ids])
-                cuts = np.searchsorted(ends, np.cumsum([len(k.encode()) + 1 for k in part])) + 1
+                cuts = np.searchsorted(ends, np.cumsum([len(x.encode()) for x in literal])) + 1
             else:
                 ids = self.tokenizer.encode_batch_fast([" \1 ".join(part)], add_special_tokens=False)[0].ids
                 cuts = np.append(np.flatnonzero(np.array(ids) == self.mark), len(ids))
             start = 0
-            for k, end in zip(part, cuts):
-                found[k] = ids[start:end]
-                start = end if self.cut == self._cut_byte else end + 1
+            for k, end in zip(part, cuts.tolist()):
+                found[k] = ids[start + (k[0] == "\1") : end]
+                start = end if byte else end + 1
         rest = [k for k in keys if k not in found]
         for k, x in zip(rest, self.tokenizer.encode_batch_fast([self._literal(k) for k in rest], add_special_tokens=False)):
             found[k] = x.ids
