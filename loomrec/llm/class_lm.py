@@ -21,7 +21,7 @@ from loomrec.llm.common import crc_mod, drop_stored, partitions, small_batches,
 CLASSES, CONTEXT_WORDS, EXCHANGE_ROUNDS, DRIVER_ROUNDS = 32, 512, 3, 12
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 TRANSITION_SMOOTHING = 50.0
-BLOCK_TOKENS, FLUSH_TOKENS, CHUNK_BYTES = 3_000_000, 4_000_000, 1_000_000
+BLOCK_TOKENS, FLUSH_TOKENS, CHUNK_BYTES = 1_500_000, 2_000_000, 500_000
 END = np.uint64(0)
 UNKNOWN = CLASSES
 MULTIPLIER = 0x9E3779B97F4A7C15
@@ -116,11 +116,11 @@ class Coder:
     def __init__(self, words: list[int], codes: list[int]):
         w = np.array(words, np.int64).view(np.uint64)
         order = np.argsort(w)
-        self.words, self.codes = w[order], np.array(codes, np.int64)[order]
+        self.words, self.codes = w[order], np.array(codes, np.int16)[order]
 
     def __call__(self, tokens: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        return np.where(self.words[at] == tokens, self.codes[at], -1)
+        return np.where(self.words[at] == tokens, self.codes[at], np.int16(-1))
 
 
 def context_matrix(train: DataFrame, words: list[int]) -> np.ndarray:
@@ -135,7 +135,7 @@ def context_matrix(train: DataFrame, words: list[int]) -> np.ndarray:
                 codes = coder(hasher.sequence(texts)[0])
                 previous = last_known(codes, end)
                 here = codes >= 0
-                total += np.bincount(previous[here] * n + codes[here], minlength=n * n)
+                total += np.bincount(previous[here].astype(np.int64) * n + codes[here], minlength=n * n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
@@ -394,6 +394,7 @@ def class_scores(docs: DataFrame) -> DataFrame:
     else:
         top = counts.filter("w != 0").orderBy(F.desc("c"), "w").limit(CONTEXT_WORDS - 1).collect()
         words = [0, *[r["w"] for r in top]]
+        drop_stored(counts)
         cls = exchange(context_matrix(train, words), CLASSES, DRIVER_ROUNDS)
         contexts = context_counts(train, words, cls.tolist())
         seeded = contexts.join(F.broadcast(spark.createDataFrame([(w, int(k)) for w, k in zip(words, cls)], "w long, cls int")), "w")
