@@ -411,6 +411,20 @@ def popular_fallback(s, d):
     return _popular(s, d)
 
 
+
+PARTS = f"""{CFREC}, {PROFILE}, cb AS (SELECT category, item_id, coalesce(pop, 0) pop, coalesce(recent_pop, 0) recent_pop FROM items LEFT JOIN pop USING (item_id) QUALIFY row_number() OVER (PARTITION BY category ORDER BY coalesce(pop, 0) DESC, item_id) <= 15),
+catrec AS (SELECT user_id, item_id, score, place rank FROM (SELECT p.user_id, b.item_id, round(b.pop * (1 + p.share) + 0.01 * b.recent_pop, 6) score, row_number() OVER (PARTITION BY p.user_id ORDER BY round(b.pop * (1 + p.share) + 0.01 * b.recent_pop, 6) DESC, b.item_id) AS place FROM profile p JOIN cb b USING (category) LEFT JOIN seq x ON x.user_id = p.user_id AND x.item_id = b.item_id WHERE x.user_id IS NULL QUALIFY place <= 20)),
+ph AS (SELECT item_id, pop FROM pop ORDER BY pop DESC, item_id LIMIT 40), poprec AS (SELECT u.user_id, ph.item_id, ph.pop, row_number() OVER (PARTITION BY u.user_id ORDER BY ph.pop DESC, ph.item_id) AS rank FROM (SELECT DISTINCT user_id FROM seq) u CROSS JOIN ph LEFT JOIN seq x ON x.user_id = u.user_id AND x.item_id = ph.item_id WHERE x.user_id IS NULL QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY ph.pop DESC, ph.item_id) <= 20),
+parts AS (SELECT user_id, item_id, score, rank, 'itemcf' source, 0 src_no FROM cfrec UNION ALL SELECT user_id, item_id, score / 100, rank, 'category', 1 FROM catrec UNION ALL SELECT user_id, item_id, pop / 200.0, rank, 'popular', 2 FROM poprec),
+merged AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(sum(score), 6) score, string_agg(source, ',' ORDER BY src_no) sources, count(*) n_sources FROM parts GROUP BY ALL)),
+coarse AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coarse DESC, item_id) coarse_rank FROM (SELECT user_id, item_id, count(*) n_sources, string_agg(source, ',' ORDER BY source) sources,
+  round(sum(CASE source WHEN 'itemcf' THEN 1.5 WHEN 'popular' THEN 0.5 ELSE 1 END * least(100, greatest(0, score)) + CASE source WHEN 'itemcf' THEN 0.1 ELSE 0 END + 1 / (60.0 + rank)) + (count(*) - 1) * 0.05, 6) coarse FROM parts GROUP BY ALL)),
+cut AS (SELECT c.*, coalesce(decay_pop, 0) dp FROM coarse c LEFT JOIN pop USING (item_id) WHERE coarse_rank <= 40),
+fine0 AS (SELECT *, CASE WHEN max(dp) OVER w > min(dp) OVER w THEN round((dp - min(dp) OVER w) / (max(dp) OVER w - min(dp) OVER w), 6) ELSE 0 END feature FROM cut WINDOW w AS (PARTITION BY user_id)),
+fine1 AS (SELECT *, round(coarse + round(CASE WHEN contains(sources, 'itemcf') THEN 0.1 + CASE WHEN n_sources >= 2 THEN 0.05 ELSE 0 END ELSE 0 END - CASE WHEN sources = 'popular' THEN 0.1 ELSE 0 END, 6) + 0.2 * feature, 6) fine FROM fine0),
+fine2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fine DESC, item_id) fine_rank, round(fine + round(CASE WHEN n_sources >= 2 THEN 0.03 ELSE 0 END - CASE WHEN sources = 'popular' THEN 0.04 ELSE 0 END, 6), 6) final FROM fine1),
+ranked AS (SELECT user_id, item_id, sources, coarse, fine, final, coarse_rank, fine_rank, final_rank, coarse_rank - final_rank movement FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) final_rank FROM fine2) WHERE final_rank <= 20)"""
+
 def _parts(s, d):
     return {"itemcf": _cf_recall(s, d), "category": _cat_recall(s, d).withColumn("score", F.col("score") / 100), "popular": _popular(s, d).withColumn("score", F.col("pop") / 200.0)}
 
@@ -419,7 +433,7 @@ def _merged(s, d):
     return C.merge_sources(_parts(s, d))
 
 
-@query("merged_candidates")
+@query("merged_candidates", f"""$BASE, {PARTS} SELECT * FROM merged""")
 def merged_candidates(s, d):
     return _merged(s, d)
 
@@ -434,7 +448,7 @@ def balanced_pool(s, d):
     return C.balanced_pool(_merged(s, d), 20, ["itemcf", "category", "popular"])
 
 
-@query("fallback_ladder")
+@query("fallback_ladder", f"""$BASE, {PARTS} SELECT user_id, item_id, step, ord, row_number() OVER (PARTITION BY user_id ORDER BY step, ord, item_id) AS slot FROM (SELECT user_id, item_id, min((src_no, rank)) m, src_no_min step, rank_min ord FROM (SELECT user_id, item_id, src_no, rank, first_value(src_no) OVER w src_no_min, first_value(rank) OVER w rank_min FROM parts WHERE src_no > 0 OR rank <= 10 WINDOW w AS (PARTITION BY user_id, item_id ORDER BY src_no, rank)) GROUP BY ALL) QUALIFY slot <= 20""")
 def fallback_ladder(s, d):
     return C.fill_ladder([_cf_recall(s, d).filter("rank <= 10"), _cat_recall(s, d), _popular(s, d)], 20)
 
@@ -444,7 +458,7 @@ def diverse_popular(s, d):
     return C.diverse_popular(S.items(s, d), _pop(s, d), 5, 50)
 
 
-@query("pool_interleave")
+@query("pool_interleave", f"""$BASE, {PARTS} SELECT user_id, item_id, r, p, row_number() OVER (PARTITION BY user_id ORDER BY r, p, item_id) AS slot FROM (SELECT user_id, item_id, rank r, src_no p FROM parts QUALIFY row_number() OVER (PARTITION BY user_id, item_id ORDER BY rank, src_no) = 1) QUALIFY slot <= 20""")
 def pool_interleave(s, d):
     return C.interleave([_cf_recall(s, d), _cat_recall(s, d), _popular(s, d)], 20)
 
@@ -470,22 +484,22 @@ def _ranked(s, d):
     return R.three_stage(_coarse(s, d), _pop(s, d), 40, 20)
 
 
-@query("coarse_ranking")
+@query("coarse_ranking", f"""$BASE, {PARTS} SELECT * FROM coarse""")
 def coarse_ranking(s, d):
     return _coarse(s, d)
 
 
-@query("three_stage_ranking")
+@query("three_stage_ranking", f"""$BASE, {PARTS} SELECT * FROM ranked""")
 def three_stage_ranking(s, d):
     return _ranked(s, d)
 
 
-@query("source_minimum_guarantee")
+@query("source_minimum_guarantee", f"""$BASE, {PARTS} SELECT user_id, item_id, final, guaranteed, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) slot FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY guaranteed DESC, final_rank) AS pick FROM (SELECT *, CAST(own = 1 AND sum(own) OVER (PARTITION BY user_id ORDER BY final_rank ROWS UNBOUNDED PRECEDING) <= 3 AND sum(own) OVER (PARTITION BY user_id) >= 3 AS INT) guaranteed FROM (SELECT *, CAST(contains(sources, 'category') AS INT) own FROM ranked))) WHERE pick <= 10""")
 def source_minimum_guarantee(s, d):
     return R.source_minimum(_ranked(s, d), "category", 3, 10)
 
 
-@query("policy_cap_guard")
+@query("policy_cap_guard", f"""$BASE, {PARTS} SELECT user_id, item_id, flagged, deferred, row_number() OVER (PARTITION BY user_id ORDER BY deferred, final_rank) AS slot FROM (SELECT *, CAST(flagged = 1 AND sum(flagged) OVER (PARTITION BY user_id ORDER BY final_rank ROWS UNBOUNDED PRECEDING) > 3 AS INT) deferred FROM (SELECT *, CAST(sources = 'popular' AS INT) flagged FROM ranked)) QUALIFY slot <= 10""")
 def policy_cap_guard(s, d):
     return R.cap_share(_ranked(s, d), F.col("sources") == "popular", 0.3, 10)
 
@@ -506,17 +520,17 @@ def constraint_filter(s, d):
     return R.constraint_filter(_ranked(s, d), S.items(s, d), _feedback(s, d).filter("sign < 0"), 1400.0, 5)
 
 
-@query("feedback_neighbour_rerank")
+@query("feedback_neighbour_rerank", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)) SELECT user_id, item_id, final, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT r.user_id, r.item_id, final, round(final + 0.3 * (coalesce(up, 0) - coalesce(down, 0)), 6) adjusted FROM ranked r LEFT JOIN (SELECT f.user_id, dst item_id, max(score) FILTER (sign > 0) up, max(score) FILTER (sign < 0) down FROM fbk f JOIN cf ON src = f.item_id GROUP BY ALL) b USING (user_id, item_id))""")
 def feedback_neighbour_rerank(s, d):
     return R.neighbour_rerank(_ranked(s, d), _feedback(s, d), _cf(s, d))
 
 
-@query("preference_rerank")
+@query("preference_rerank", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)), lk AS (SELECT user_id, brand, category, sign * pow(0.5, age / 30) w FROM fbk JOIN items USING (item_id)), pref AS (SELECT user_id, item_id, preference, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT *, round(final + preference, 6) adjusted FROM (SELECT r.user_id, r.item_id, final, round(greatest(-0.25, least(0.25, 0.1 * coalesce(bw, 0) + 0.05 * coalesce(cw, 0))), 6) preference FROM ranked r JOIN items i USING (item_id) LEFT JOIN (SELECT user_id, brand, sum(w) bw FROM lk GROUP BY ALL) b ON b.user_id = r.user_id AND b.brand = i.brand LEFT JOIN (SELECT user_id, category, sum(w) cw FROM lk GROUP BY ALL) c ON c.user_id = r.user_id AND c.category = i.category))) SELECT * FROM pref""")
 def preference_rerank(s, d):
     return R.preference_rerank(_ranked(s, d), S.items(s, d), _feedback(s, d))
 
 
-@query("exploration_reserve")
+@query("exploration_reserve", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)), lk AS (SELECT user_id, brand, category, sign * pow(0.5, age / 30) w FROM fbk JOIN items USING (item_id)), pref AS (SELECT user_id, item_id, preference, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT *, round(final + preference, 6) adjusted FROM (SELECT r.user_id, r.item_id, final, round(greatest(-0.25, least(0.25, 0.1 * coalesce(bw, 0) + 0.05 * coalesce(cw, 0))), 6) preference FROM ranked r JOIN items i USING (item_id) LEFT JOIN (SELECT user_id, brand, sum(w) bw FROM lk GROUP BY ALL) b ON b.user_id = r.user_id AND b.brand = i.brand LEFT JOIN (SELECT user_id, category, sum(w) cw FROM lk GROUP BY ALL) c ON c.user_id = r.user_id AND c.category = i.category))) SELECT user_id, item_id, new, row_number() OVER (PARTITION BY user_id ORDER BY slot) place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN new = 1 AND r <= 2 THEN 0 ELSE 1 END, slot) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY user_id, new ORDER BY slot) r FROM (SELECT *, CAST(preference <= 0 AS INT) new FROM pref))) WHERE pick <= 10""")
 def exploration_reserve(s, d):
     return R.exploration_reserve(preference_rerank(s, d), 10)
 
@@ -564,12 +578,12 @@ def _long(s, d):
     return long
 
 
-@query("source_marginal_hits")
+@query("source_marginal_hits", f"""$BASE, {PARTS} SELECT source, count(*) hit_users, count(*) FILTER (n = 1) only_here FROM (SELECT *, count(*) OVER (PARTITION BY user_id) n FROM (SELECT DISTINCT user_id, source FROM parts JOIN (SELECT DISTINCT * FROM held) USING (user_id, item_id))) GROUP BY 1""")
 def source_marginal_hits(s, d):
     return E.source_marginal(_long(s, d), _held(s, d))
 
 
-@query("source_jaccard")
+@query("source_jaccard", f"""$BASE, {PARTS} SELECT a, b, shared, round(shared / (na + nb - shared), 6) jaccard FROM (SELECT x.source a, y.source b, count(*) shared FROM parts x JOIN parts y USING (user_id, item_id) WHERE x.source < y.source GROUP BY ALL) JOIN (SELECT source a, count(*) na FROM parts GROUP BY 1) USING (a) JOIN (SELECT source b, count(*) nb FROM parts GROUP BY 1) USING (b)""")
 def source_jaccard(s, d):
     return E.source_jaccard(_long(s, d))
 
@@ -633,7 +647,7 @@ def bm25_retrieval(s, d):
     return T.bm25(posts, q, 10, n, a)
 
 
-@query("tfidf_retrieval")
+@query("tfidf_retrieval", f"WITH {POSTS}, f AS (SELECT token, ln(((SELECT count(*) FROM docs) + 1.0) / (count(*) + 1)) idf FROM post GROUP BY 1), w AS (SELECT doc, token, tf * idf w, idf FROM post JOIN f USING (token)), nm AS (SELECT doc, sqrt(sum(w * w)) n FROM w GROUP BY 1) SELECT query, doc, round(dot / n, 6) score, row_number() OVER (PARTITION BY query ORDER BY round(dot / n, 6) DESC, doc) AS rank FROM (SELECT query, doc, sum(w * idf) dot FROM w JOIN q USING (token) GROUP BY ALL) JOIN nm USING (doc) WHERE n > 0 QUALIFY rank <= 10")
 def tfidf_retrieval(s, d):
     posts, q, n, _ = _posts(s, d)
     return T.tfidf_cosine(posts, q, 10, n)
@@ -727,7 +741,8 @@ def timeline_merge(s, d):
     return V.timeline(S.feedback_events(s, d), S.table(s, d, "conversations"))
 
 
-@query("run_monitor")
+@query("run_monitor", """$BASE SELECT profile_id, phase, n, total, failed, n_items, concat_ws(',', CASE WHEN n > 10 THEN 'busy' END, CASE WHEN total > 1000 THEN 'slow' END, CASE WHEN failed = 1 THEN 'failed' END) signals FROM (SELECT profile_id,
+CASE WHEN kind = 'EXPOSURE' THEN 'recall' WHEN kind IN ('CLICK', 'WHY') THEN 'interaction' WHEN kind = 'LIKE' THEN 'feedback' ELSE 'error' END phase, count(*) n, round(sum(value), 4) total, max(CAST(kind = 'DISLIKE' AS INT)) failed, count(DISTINCT item_id) n_items FROM fb GROUP BY 1, 2)""")
 def run_monitor(s, d):
     return V.run_monitor(S.feedback_events(s, d))
 

@@ -61,8 +61,10 @@ def keyed_layouts(df: DataFrame, path: str, layouts: dict[str, list[str]], bucke
 
 def point_lookup(spark: SparkSession, path: str, layout: str, key: dict[str, object], buckets: int = 64, limit: int | None = None) -> DataFrame:
     """Rows of one key: the bucket prunes directories, the sort order prunes row groups."""
-    hashed = spark.range(1).select(F.pmod(F.xxhash64(*[F.lit(v) for v in key.values()]), F.lit(buckets)).alias("b")).first()["b"]
-    found = spark.read.parquet(f"{path}/{layout}").filter(F.col("bucket") == hashed)
+    rows = spark.read.parquet(f"{path}/{layout}")
+    typed = [F.lit(v).cast(rows.schema[k].dataType) for k, v in key.items()]  # the hash depends on the type
+    hashed = spark.range(1).select(F.pmod(F.xxhash64(*typed), F.lit(buckets)).alias("b")).first()["b"]
+    found = rows.filter(F.col("bucket") == hashed)
     for name, value in key.items():
         found = found.filter(F.col(name) == F.lit(value))
     return found.limit(limit) if limit else found
