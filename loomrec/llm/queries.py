@@ -73,4 +73,14 @@ QUERIES = {
     "op10_pii_checksums": op10_pii_checksums,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+WORDS_SQL = "list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '')"
+#: Operators whose whole result SQL can express; items here have five words or more.
+ORACLE_SQL: dict[str, str] = {
+    "op9_minhash_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL.format(t="text")} w FROM documents), b AS (SELECT item_id, {WORDS_SQL.format(t="text")} w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) i FROM d)),
+bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) i FROM b)),
+q AS (SELECT item_id, count(*) n_item FROM bs GROUP BY 1)
+SELECT doc_id, item_id, n_item, count(*) n_shared, count(*) / n_item containment FROM ds JOIN bs USING (s) JOIN q USING (item_id)
+GROUP BY doc_id, item_id, n_item HAVING count(*) * 5 >= n_item * 4""",
+}
