@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Pieces and characters that one worker remembers; beyond either the memory starts anew.
-MAX_PIECES, MAX_CHARS = 800_000, 24_000_000
+MAX_PIECES, MAX_CHARS = 1_600_000, 48_000_000
 #: Texts of one call to ``encode`` hold about this many characters, so arrays stay small.
 CHUNK_CHARS = 2_000_000
 #: Strings that send a text down the careful way: control marks used as keys, and white space other than single spaces
