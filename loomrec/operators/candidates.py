@@ -177,3 +177,12 @@ def constraint_search(items: DataFrame, pop: DataFrame, max_price: float, catego
     j = items.join(pop.select("item_id", "pop"), "item_id", "left").na.fill(0, ["pop"]).filter(F.col("price") <= max_price)
     strict = (F.col("category") == category) & F.contains(F.lower("title"), F.lit(keyword))
     return j.select("item_id", "category", "price", "pop", F.when(strict, 0).otherwise(1).alias("relaxed")).orderBy("relaxed", F.col("pop").desc(), "item_id").limit(n)
+
+
+def discovery(items: DataFrame, seed: int, offset: int, per_category: int, n: int) -> DataFrame:
+    """(category, item_id, r, slot): categories in seeded hash order, a page of each (``per_category`` items after
+    ``offset``), dealt round by round into ``n`` slots."""
+    order = F.md5(F.concat_ws(":", F.col("category"), F.lit(str(seed))))
+    paged = items.select("category", "item_id", order.alias("h")).withColumn("r", F.row_number().over(W.partitionBy("category").orderBy("item_id")))
+    page = paged.filter((F.col("r") > offset) & (F.col("r") <= offset + per_category)).orderBy("r", "h").limit(n)
+    return page.withColumn("slot", F.row_number().over(W.orderBy("r", "h"))).select("category", "item_id", "r", "slot")

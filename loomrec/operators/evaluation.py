@@ -108,3 +108,61 @@ def bootstrap_interval(diffs: DataFrame, resamples: int = 2000, seed: int = 42)
     rows = diffs.select("user_id", "diff", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("t", times)
     means = rows.groupBy("b").agg((F.sum(F.col("t") * F.col("diff")) / F.sum("t")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.avg("m").alias("mean"))
+
+
+def restricted_hit_rate(long: DataFrame, truth: DataFrame, allowed: set[str], k: int) -> DataFrame:
+    """(n_users, hit_users, hit_rate) of the lists re-ranked with some sources only, best score first."""
+    w = W.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")
+    best = long.filter(F.col("source").isin(*sorted(allowed))).groupBy("user_id", "item_id").agg(F.max("score").alias("score"))
+    top = best.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
+    hit = top.join(truth.distinct(), ["user_id", "item_id"], "left_semi").select("user_id").distinct().withColumn("hit", F.lit(1))
+    users = truth.select("user_id").distinct().join(hit, "user_id", "left")
+    return users.agg(F.count("*").alias("n_users"), F.count("hit").alias("hit_users"), F.round(F.count("hit") / F.count("*"), 6).alias("hit_rate"))
+
+
+def list_signature(ranked: DataFrame) -> DataFrame:
+    """sha256 of each user's list in rank order: freezes candidates between runs."""
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item_id"))), lambda x: x["item_id"].cast("string")), ",")
+    return ranked.groupBy("user_id").agg(F.sha2(ordered, 256).alias("signature"), F.count("*").alias("n"))
+
+
+def stage_latency(spans: DataFrame, stage: str, value: str) -> DataFrame:
+    """Average and nearest-rank p95 per stage, and over all rows (stage 'total')."""
+    both = spans.select(F.explode(F.array(F.col(stage), F.lit("total"))).alias("stage"), F.col(value).alias("value"))
+    average = both.groupBy("stage").agg(F.round(F.avg("value"), 4).alias("average"))
+    return nearest_rank(both, "stage", "value", 0.95).join(average, "stage").select("stage", "n", "average", F.col("nearest").alias("p95"))
+
+
+def diagnostic_gate(stages: DataFrame) -> DataFrame:
+    """The bottleneck of a run from its (stage, n): recall if most targets are missed, ranking if most are found but not on
+    top, otherwise none."""
+    n = lambda *names: F.sum(F.when(F.col("stage").isin(*names), F.col("n")).otherwise(0))
+    total = F.sum("n")
+    lost = F.when(n("miss") * 2 > total, "recall").when(n("pool", "raw") > n("topk"), "ranking").otherwise("none")
+    return stages.agg(total.alias("targets"), n("miss").alias("missed"), n("topk").alias("on_top"), lost.alias("bottleneck"))
+
+
+def marginal_over_baseline(source: DataFrame, baseline: DataFrame, truth: DataFrame) -> DataFrame:
+    """Targets and users that the source reaches and the baseline does not."""
+    extra = source.select("user_id", "item_id").distinct().join(baseline.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    hits = extra.join(truth.distinct(), ["user_id", "item_id"], "left_semi")
+    n = extra.agg(F.count("*").alias("extra_rows"))
+    return n.crossJoin(hits.agg(F.count("*").alias("extra_hits"), F.countDistinct("user_id").alias("extra_users")))  # one row each
+
+
+def shadow_comparison(variant: DataFrame, baseline: DataFrame, k: int = 10) -> DataFrame:
+    """Per user: size of the variant's top k, items new against the baseline's top k, largest rank change of the others."""
+    b = baseline.filter(F.col("rank") <= k).select("user_id", "item_id", F.col("rank").alias("b"))
+    j = variant.filter(F.col("rank") <= k).select("user_id", "item_id", "rank").join(b, ["user_id", "item_id"], "left")
+    return j.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("b").isNull().cast("int")).alias("n_new"), F.max(F.abs(F.col("rank") - F.col("b"))).alias("largest_move"))
+
+
+def session_scorecard(turns: DataFrame) -> DataFrame:
+    """Five dimensions per session: length, balance of roles, share of non-empty turns, average length, reward (the sum of
+    1 per answered user turn less 0.1 per further turn)."""
+    by = turns.groupBy("conv_id").agg(
+        F.count("*").alias("n_turns"), F.count_if(F.col("role") == "user").alias("n_user"), F.count_if(F.col("role") == "assistant").alias("n_assistant"),
+        F.round(F.avg((F.length(F.coalesce("text", F.lit(""))) > 0).cast("int")), 6).alias("filled"), F.round(F.avg(F.length(F.coalesce("text", F.lit("")))), 4).alias("avg_chars"),
+    )
+    answered = F.least("n_user", "n_assistant")
+    return by.withColumn("reward", F.round(answered - 0.1 * (F.col("n_turns") - answered), 6))

@@ -201,3 +201,41 @@ def marginal_relevance(ranked: DataFrame, items: DataFrame, k: int = 10, similar
         return pd.DataFrame([(user, i, n + 1) for n, i in enumerate(chosen)], columns=["user_id", "item_id", "place"])
 
     return j.groupBy("user_id").applyInPandas(run, "user_id long, item_id long, place int")
+
+
+def movement_guard(ranked: DataFrame, most: int, k: int) -> DataFrame:
+    """Defers items that moved more than ``most`` places between stages behind the others; the first k slots remain."""
+    flagged = ranked.withColumn("deferred", (F.abs(F.col("movement")) > most).cast("int"))
+    placed = flagged.withColumn("slot", F.row_number().over(W.partitionBy("user_id").orderBy("deferred", "final_rank")))
+    return placed.filter(F.col("slot") <= k).select("user_id", "item_id", "movement", "deferred", "slot")
+
+
+def blended(trained: DataFrame, semantic: DataFrame, weight: float = 0.3) -> DataFrame:
+    """weight * trained + (1 - weight) * semantic over items that either has; a missing score counts 0."""
+    a = trained.select("user_id", "item_id", F.col("score").alias("t"))
+    j = a.join(semantic.select("user_id", "item_id", F.col("score").alias("s")), ["user_id", "item_id"], "full").na.fill(0.0, ["t", "s"])
+    return j.select("user_id", "item_id", F.round(weight * F.col("t") + (1 - weight) * F.col("s"), 6).alias("score"))
+
+
+def deep_fm(df: DataFrame, features: list[str], linear: list[float], factors: list[list[float]], hidden: list[list[float]], out: list[float], bias: float = 0.0) -> DataFrame:
+    """Adds ``score``: linear term + second-order factorisation term + one ReLU layer, all as column arithmetic."""
+    x = [F.col(f) for f in features]
+    dot = lambda weights: sum((w * c for w, c in zip(weights[1:], x[1:])), weights[0] * x[0])
+    second = None
+    for d in range(len(factors[0])):
+        v = [f[d] for f in factors]
+        term = 0.5 * (dot(v) * dot(v) - sum((w * w * c * c for w, c in zip(v[1:], x[1:])), v[0] * v[0] * x[0] * x[0]))
+        second = term if second is None else second + term
+    layer = [F.greatest(F.lit(0.0), dot(h)) for h in hidden]
+    deep = sum((w * h for w, h in zip(out[1:], layer[1:])), out[0] * layer[0])
+    return df.withColumn("score", F.round(bias + dot(linear) + second + deep, 6))
+
+
+def logistic_weights(df: DataFrame, features: list[str], label: str) -> dict[str, float]:
+    """Pointwise logistic ranker fitted by Spark ML on all rows; weights by feature, and ``bias``."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=features, outputCol="__x").transform(df.na.fill(0.0, features))
+    model = LogisticRegression(featuresCol="__x", labelCol=label, regParam=0.01, maxIter=50).fit(rows)
+    return {**dict(zip(features, map(float, model.coefficients))), "bias": float(model.intercept)}

@@ -1 +1,3 @@
+"""Registered queries."""
 
+from loomrec.plans import queries, extended  # noqa: F401, I001  (the second registers its queries in the first)
