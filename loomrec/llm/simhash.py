@@ -13,27 +13,39 @@ from loomrec.llm.common import small_batches, stored
 from loomrec.llm.graph import components
 
 BITS, SEED, SHINGLE_WORDS, MAX_DIFFERING = 64, 42, 4, 4
+#: Up to this many bits a link counts if the texts' distinct 5-word shingles have a Jaccard similarity of 0.8 or more. It is
+#: the widest distance that four segments (of 16 bits) cover; five would have 13 bits and no longer select.
+VERIFIED_DIFFERING, VERIFIED_WORDS = 7, 5
+#: Representatives are broadcast if they have been counted to be at most this many (of some 24 bytes); else they are shuffled.
+BROADCAST_ROWS = 1_000_000
 SHINGLE_CHUNK = 50_000
 LOWER_TABLE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
-    """A bit is 1 if it is set in over half of the shingles' 64-bit hashes; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle_words: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of all shingles of a text in order, a chunk at a time; nothing for a text without words."""
     import xxhash
 
     words = text.translate(LOWER_TABLE).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
     n = max(1, len(words) - shingle_words + 1)
     firsts = starts[:n].tolist()
     ends = (starts + lengths)[-n:].tolist()
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for i in range(0, n, SHINGLE_CHUNK):
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(firsts[i : i + SHINGLE_CHUNK], ends[i : i + SHINGLE_CHUNK])), np.uint64)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(firsts[i : i + SHINGLE_CHUNK], ends[i : i + SHINGLE_CHUNK])), np.uint64)
+
+
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
+    """A bit is 1 if it is set in over half of the shingles' 64-bit hashes; 0 for a text without words."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle_words):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
@@ -83,18 +95,60 @@ def fingerprint_links(classes: DataFrame, max_differing: int = MAX_DIFFERING) ->
     return left.join(right, (F.col("ka") == F.col("kb")) & sides & close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shingle_sets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """fp and the distinct 5-word shingle hashes of each row's whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([*shingle_hashes(x.as_py() or b"", VERIFIED_WORDS), np.zeros(0, np.uint64)])).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    return docs.select("fp", F.col(text).cast("binary").alias("__text")).mapInArrow(run, "fp long, shingles array<long>")
+
+
+def similar_links(docs: DataFrame, far: DataFrame, classes: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The (a, b) of ``far`` whose representatives have a Jaccard similarity of 0.8 or more. Only representatives that
+    stand in a link are read again and shingled."""
+    asked = far.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    chosen = stored(classes.join(asked, "fp", "left_semi").select("fp", *[F.col("first")[c].alias(f"__{c}") for c in keep]), "representatives")
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    own, same = docs.select(*keep, "text"), F.lit(True)
+    for c in keep:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    sets = stored(shingle_sets(own.join(side, same)).dropDuplicates(["fp"]), "shingle-sets")
+    left = far.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = left.join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(9 * shared >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def class_roots(docs: DataFrame, classes: DataFrame, max_differing: int, verified_differing: int, keep: tuple[str, ...]) -> DataFrame:
+    """(node, root) of every linked fingerprint. Links beyond ``max_differing`` bits are verified only where they join
+    components that closer links leave apart."""
+    if verified_differing <= max_differing:
+        return components(fingerprint_links(classes, max_differing))
+    links = fingerprint_links(classes, verified_differing).distinct()
+    links = stored(links.withColumn("bits", F.bit_count(F.col("a").bitwiseXOR(F.col("b")))), "links")
+    near = stored(components(links.filter(F.col("bits") <= max_differing).select("a", "b")), "near-roots")
+    root_of = lambda end: near.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    far = links.filter(F.col("bits") > max_differing).join(root_of("a"), "a", "left").join(root_of("b"), "b", "left")
+    far = stored(far.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"), "far-links")
+    within = near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return components(within.unionByName(similar_links(docs, far, classes, keep)))
+
+
+def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: tuple[str, ...] = ("doc_id",), verified_differing: int = 0) -> DataFrame:
     """``keep`` (doc_id among them), fp and component_id of every row; component_id is the smallest doc_id reachable over links of at most
-    ``max_differing`` bits.
+    ``max_differing`` bits, and of at most ``verified_differing`` bits if the texts are similar (5-word shingles, 0.8).
 
     Equal fingerprints are one class before anything is joined, so copies cost one row however many they are; links and
-    components run on classes. Null and empty texts have fingerprint zero and are one class; rows that share a doc_id
-    each get a row; an empty table gives none; a component of null ids alone has a null id. Tables in the shared folder
-    hold fingerprints and links, so nothing is hashed twice.
+    components run on classes, similarity on one text per class. Null and empty texts have fingerprint zero and are one
+    class; rows that share a doc_id each get a row; an empty table gives none; a component of null ids alone has a null
+    id. Tables in the shared folder hold fingerprints and links, so nothing is hashed twice.
     """
     marked = stored(fingerprints(docs, list(keep)), "fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
-    roots = components(fingerprint_links(classes, max_differing))
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.min(F.struct(*keep)).alias("first")), "classes")
+    roots = class_roots(docs, classes, max_differing, verified_differing, keep)
     placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
     firsts = placed.filter("linked").groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_class = placed.join(firsts, "root", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
@@ -105,11 +159,11 @@ def near_duplicate_digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, max_differing: int = MAX_DIFFERING) -> DataFrame:
+def deduplicated(docs: DataFrame, max_differing: int = MAX_DIFFERING, verified_differing: int = VERIFIED_DIFFERING) -> DataFrame:
     """One document of each group stays: the one whose id names the component. Rows equal in id and text count as one; a
     null id stays only in a component of null ids. The documents are shuffled once, by id, to meet the verdicts."""
     key = F.xxhash64("text")
-    found = near_duplicates(docs.select("doc_id", "text", key.alias("text_key")), max_differing, ("doc_id", "text_key"))
+    found = near_duplicates(docs.select("doc_id", "text", key.alias("text_key")), max_differing, ("doc_id", "text_key"), verified_differing)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__k")).distinct()
     joined = docs.withColumn("__key", key).join(kept, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__key") == F.col("__k")))
     return joined.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)

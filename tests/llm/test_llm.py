@@ -325,6 +325,47 @@ def test_simhash_links_and_components(texts, documents, mixed, empty):
     assert simhash.near_duplicate_digest(empty).count() == 0
 
 
+def _brute_groups(rows: list[tuple[int, str]]) -> dict[int, int]:
+    """Smallest id reachable over links of at most 4 bits, or at most 7 bits and a similarity of 0.8 of 5-word shingles."""
+    prints, sets, root = {}, {}, {d: d for d, _ in rows}
+    for d, t in rows:
+        w = WORD.findall(t.translate(LOWER))
+        prints[d] = simhash.fingerprint(t.encode())
+        sets[d] = {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(root)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            bits = (prints[a] ^ prints[b]).bit_count()
+            if bits <= 4 or (bits <= 7 and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {d: find(d) for d in ids}
+
+
+def test_wider_links_are_verified(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        for edits in (0, 1, 2, 3, 4, 6, 9, 14, 25):
+            own = list(base)
+            for at in rng.integers(0, 200, edits):
+                own[at] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    want = _brute_groups(rows)
+    found = simhash.near_duplicates(frame(spark, rows), verified_differing=simhash.VERIFIED_DIFFERING)
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == want
+    close = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert len(set(want.values())) < len(set(close.values()))
+    assert {r["doc_id"] for r in simhash.deduplicated(frame(spark, rows)).collect()} == set(want.values())
+
+
 def test_variants_miss_no_pair_and_chains_join(spark):
     rng = np.random.default_rng(5)
     base = [int(x) for x in rng.integers(-(2**63), 2**63 - 1, 20)]
@@ -439,7 +480,8 @@ def test_pipeline_equals_brute_force_stages(spark, sf_dir, documents):
     packed = {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()}
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     clean = documents.join(toxicity.score_toxicity(documents, labels, ["doc_id"]).filter("predicted = 0"), "doc_id", "left_semi")
-    first = {r["doc_id"] for r in simhash.near_duplicates(clean).collect() if r["doc_id"] == r["component_id"]}
+    groups = _brute_groups([(r["doc_id"], r["text"]) for r in clean.collect()])
+    first = {d for d, c in groups.items() if d == c}
     hit = {r["doc_id"] for r in decontaminate.contained_items(clean, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}
     assert packed == first - hit
 
