@@ -76,7 +76,7 @@ def forbidden_scopes(payload: object, forbidden: set[str], path: str = "$") -> l
 def family_sample(items: DataFrame, per_category: int, pool: int, similar: float = 0.65) -> DataFrame:
     """Per category, in hash order, the first ``per_category`` items of a pool of ``pool`` whose titles share less than
     ``similar`` (Jaccard of tokens) with every item already taken."""
-    hashed = items.select("item_id", "category", tokens(F.col("title")).alias("t"), F.md5(F.col("item_id").cast("string")).alias("h"))
+    hashed = items.select("item_id", "category", tokens(F.coalesce("title", F.lit(""))).alias("t"), F.md5(F.col("item_id").cast("string")).alias("h"))
     bounded = hashed.withColumn("r", F.row_number().over(W.partitionBy("category").orderBy("h"))).filter(F.col("r") <= pool)
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
