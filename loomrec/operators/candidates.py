@@ -45,15 +45,21 @@ def long_tail(profile: DataFrame, items: DataFrame, pop: DataFrame, beyond: int,
     return profile.select("user_id", "category").join(r, "category").select("user_id", "item_id", "category", "r")
 
 
-def token_overlap(seed: DataFrame, items: DataFrame, max_df: int, k: int) -> DataFrame:
-    """Unseen items that share title tokens with a seed; tokens of too many items are left out (a model parameter)."""
-    post = items.select("item_id", F.explode(tokens(F.col("title"), 3)).alias("token"))
-    rare = post.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
-    post = post.join(rare, "token")
-    hits = seed.join(post, "item_id").join(post.select(F.col("item_id").alias("other"), "token"), "token").filter("item_id != other")
-    scored = hits.groupBy("user_id", F.col("item_id").alias("seed"), F.col("other").alias("item_id")).agg(F.count("*").alias("overlap"))
-    best = scored.groupBy("user_id", "item_id").agg(F.max("overlap").alias("score"))
-    best = best.join(seed.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+def token_overlap(seed: DataFrame, items: DataFrame, k: int, last: int) -> DataFrame:
+    """Unseen items that share title tokens with one of a user's first ``last`` seeds; every token counts, however common.
+
+    Items of equal token sets are one class: overlaps are counted between classes, so a common token costs pairs of classes,
+    not of items. Of a class, and of a seed's class, only the first k items beyond the user's seeds can be among the best k.
+    """
+    own = items.select("item_id", F.array_join(F.sort_array(tokens(F.col("title"), 3)), " ").alias("bag")).filter("bag != ''")
+    words = own.select("bag").distinct().select("bag", F.explode(F.split("bag", " ")).alias("token"))
+    asked = seed.filter(F.col("seed_rank") <= last).join(own, "item_id").select("user_id", F.col("bag").alias("seed_bag"))
+    asked_words = asked.select("seed_bag").distinct().select("seed_bag", F.explode(F.split("seed_bag", " ")).alias("token"))
+    overlap = asked_words.join(words, "token").groupBy("seed_bag", "bag").agg(F.count("*").alias("overlap"))
+    first = top_k(own, ["bag"], [F.col("item_id")], k + last, "place").select("bag", "item_id")
+    near = top_k(overlap.join(first, "bag"), ["seed_bag"], [F.col("overlap").desc(), F.col("item_id")], k + last, "place").select("seed_bag", "item_id", "overlap")
+    best = asked.join(near, "seed_bag").groupBy("user_id", "item_id").agg(F.max("overlap").alias("score"))
+    best = best.join(seed.filter(F.col("seed_rank") <= last).select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
     return top_k(best, ["user_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 

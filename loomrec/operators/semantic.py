@@ -53,17 +53,32 @@ def bm25f(items: DataFrame, queries: DataFrame, weights: dict[str, float], k: in
     return top_k(scored, ["query"], [F.col("score").desc(), F.col("item_id")], k)
 
 
-def idf_overlap(seed: DataFrame, items: DataFrame, max_df: int, k: int, category_weight: float = 0.5) -> DataFrame:
-    """(seed, item_id, score, rank): mean IDF of the title tokens shared with a seed item, plus a weight for its category."""
-    post = items.select("item_id", "category", F.explode(tokens(F.col("title"))).alias("token"))
-    df = post.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df)
+def idf_overlap(seed: DataFrame, items: DataFrame, k: int, category_weight: float = 0.5) -> DataFrame:
+    """(seed, item_id, score, rank): mean IDF of the title tokens shared with a seed item, plus a weight for its category.
+    Every token counts, however common.
+
+    Items of equal token sets are one class: means are taken between classes, so a common token costs pairs of classes, not
+    of items. A seed's best k are among the first k beyond itself of its class's neighbours, overall or within its category.
+    """
+    own = items.select("item_id", "category", F.array_join(F.sort_array(tokens(F.col("title"))), " ").alias("bag")).filter("bag != ''")
+    bags = own.groupBy("bag").agg(F.count("*").alias("n_items"))
+    words = bags.select("bag", "n_items", F.explode(F.split("bag", " ")).alias("token"))
+    df = words.groupBy("token").agg(F.sum("n_items").alias("df"))
     n = items.agg(F.count("*").alias("n"))
     idf = df.crossJoin(F.broadcast(n)).select("token", F.log((F.col("n") + 1.0) / (F.col("df") + 1)).alias("idf"))  # n is one row
-    post = post.join(idf, "token")
-    own = post.join(seed.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("seed"), F.col("category").alias("seed_category"), "token")
-    hits = own.join(post, "token").filter("seed != item_id")
-    same = F.max((F.col("category") == F.col("seed_category")).cast("int"))
-    scored = hits.groupBy("seed", "item_id").agg(F.round(F.avg("idf") + category_weight * same, 6).alias("score"))
+    asked = own.join(seed.select("item_id").distinct(), "item_id", "left_semi").select(F.col("item_id").alias("seed"), F.col("category").alias("seed_category"), F.col("bag").alias("seed_bag"))
+    asked_words = asked.select("seed_bag").distinct().select("seed_bag", F.explode(F.split("seed_bag", " ")).alias("token"))
+    near = asked_words.join(words.select("bag", "token").join(idf, "token"), "token").groupBy("seed_bag", "bag").agg(F.round(F.avg("idf"), 9).alias("idf"))
+    order = [F.round("idf", 6).desc(), F.col("item_id")]
+    first = top_k(own, ["bag"], [F.col("item_id")], k + 1, "place").drop("place")
+    overall = top_k(near.join(first, "bag"), ["seed_bag"], order, k + 1, "place").select("seed_bag", "item_id", "category", "idf")
+    first = top_k(own, ["bag", "category"], [F.col("item_id")], k + 1, "place").drop("place")
+    wanted = asked.select("seed_bag", F.col("seed_category").alias("category")).distinct()
+    within = near.join(first, "bag").join(wanted, ["seed_bag", "category"], "left_semi")
+    within = top_k(within, ["seed_bag", "category"], order, k + 1, "place").select("seed_bag", "item_id", F.col("category").alias("seed_category"), "idf")
+    hits = asked.join(overall, "seed_bag").select("seed", "item_id", F.col("category").eqNullSafe(F.col("seed_category")).cast("int").alias("same"), "idf")
+    hits = hits.unionByName(asked.join(within, ["seed_bag", "seed_category"]).select("seed", "item_id", F.lit(1).alias("same"), "idf")).filter("seed != item_id")
+    scored = hits.groupBy("seed", "item_id").agg(F.round(F.max(F.col("idf") + category_weight * F.col("same")), 6).alias("score"))
     return top_k(scored, ["seed"], [F.col("score").desc(), F.col("item_id")], k)
 
 

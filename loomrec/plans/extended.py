@@ -111,7 +111,7 @@ tp AS (SELECT * FROM tk JOIN ti USING (token)), ov AS (SELECT *, row_number() OV
 
 
 def _idf(s, d):
-    return M.idf_overlap(C.seeds(S.recent_positives(s, d)), S.items(s, d), 400, 20)
+    return M.idf_overlap(C.seeds(S.recent_positives(s, d)), S.items(s, d), 20)
 
 
 @query("idf_overlap_recall", f"$BASE, {SEEDS}, {IDF} SELECT * FROM ov")

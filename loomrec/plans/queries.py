@@ -398,7 +398,7 @@ def category_long_tail(s, d):
 
 @query("token_overlap_recall")
 def token_overlap_recall(s, d):
-    return C.token_overlap(C.seeds(S.recent_positives(s, d), 3), S.items(s, d), 300, 20)
+    return C.token_overlap(C.seeds(S.recent_positives(s, d), 3), S.items(s, d), 20, 3)
 
 
 def _popular(s, d):

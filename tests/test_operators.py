@@ -8,7 +8,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from loomrec.operators import candidates, cleaning, evaluation, events, ranking, recall, retrieval
+from loomrec.operators import candidates, cleaning, evaluation, events, ranking, recall, retrieval, semantic
 from loomrec.sources import files
 from loomrec.streaming import feedback
 
@@ -207,3 +207,22 @@ def test_publish_upsert_lookup(spark, tmp_path):
     assert files.point_lookup(spark, str(tmp_path / "l"), "by_k", {"k": 2}, 4).first()["v"] == "b"
     with pytest.raises(ValueError, match="outside"):
         files.manifest_scan(spark, str(tmp_path), {"x": "../y"}, "a long")
+
+
+def test_common_title_tokens_count(spark):
+    titles = {i: ["red box", "red tin", "blue tin", "blue box lid"][i % 4] for i in range(1000)}  # each token: 250 to 500 items
+    items = spark.createDataFrame([(i, t, f"c{i % 3}") for i, t in titles.items()], "item_id long, title string, category string")
+    seeds = {1: [0, 5], 2: [2], 3: [7, 1, 4]}
+    seed = spark.createDataFrame([(u, i, r + 1) for u, own in seeds.items() for r, i in enumerate(own)], "user_id long, item_id long, seed_rank int")
+    words = {i: set(t.split()) for i, t in titles.items()}
+    for u, own in seeds.items():
+        score = {i: max(len(words[i] & words[s]) for s in own) for i in titles if i not in own}
+        best = sorted((-n, i) for i, n in score.items() if n)[:20]
+        got = candidates.token_overlap(seed, items, 20, 3).filter(F.col("user_id") == u).orderBy("rank").collect()
+        assert [(-r["score"], r["item_id"]) for r in got] == best
+    idf = {t: math.log(1001 / (sum(t in w for w in words.values()) + 1)) for t in set().union(*words.values())}
+    got = semantic.idf_overlap(seed, items, 20).collect()
+    for s in sorted({i for own in seeds.values() for i in own}):
+        shared = {i: words[i] & words[s] for i in titles if i != s}
+        score = {i: round(sum(idf[t] for t in w) / len(w) + 0.5 * (i % 3 == s % 3), 6) for i, w in shared.items() if w}
+        assert [(r["item_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"]) if r["seed"] == s] == [(i, x) for x, i in sorted(((x, i) for i, x in score.items()), key=lambda y: (-y[0], y[1]))[:20]]
