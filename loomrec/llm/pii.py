@@ -143,14 +143,8 @@ def scored(text: Column, spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), score(s).alias("score")))
 
 
-def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Adds ``base_spans`` and ``pii_spans``, arrays of (start, kind_no, end, kind, score) by start, then kind.
-
-    Base kinds keep every accepted match; added kinds (iban, ssn) need the threshold and no overlap with a base span.
-    Row by row: no shuffle, no Python. A null text counts as empty and has no spans; repeated rows and further columns
-    change nothing. Places are code points, end exclusive.
-    """
-    body = F.coalesce(F.col(text), F.lit(""))
+def spans_of(text: Column) -> Column:
+    """(base_spans, pii_spans) of a text, arrays of (start, kind_no, end, kind, score) by start, then kind; a null text counts as empty."""
 
     def pick(t: Column) -> Column:
         base = F.sort_array(scored(t, F.concat(*[proposed(t, k) for k in BASE_KINDS])))
@@ -165,9 +159,19 @@ def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
     nothing = F.lit(None).cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string,score:double>>")
     empty = F.coalesce(nothing, F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string,score:double>>"))
+    body = F.coalesce(text, F.lit(""))
     gate = F.contains(body, F.lit("@")) | body.rlike("[0-9]")
-    both = let(body, lambda t: F.when(gate, pick(t)).otherwise(F.struct(empty.alias("base_spans"), empty.alias("pii_spans"))))
-    found = docs.select(*keep, both.alias("__both"))
+    return let(body, lambda t: F.when(gate, pick(t)).otherwise(F.struct(empty.alias("base_spans"), empty.alias("pii_spans"))))
+
+
+def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """Adds ``base_spans`` and ``pii_spans``, arrays of (start, kind_no, end, kind, score) by start, then kind.
+
+    Base kinds keep every accepted match; added kinds (iban, ssn) need the threshold and no overlap with a base span.
+    Row by row: no shuffle, no Python. A null text counts as empty and has no spans; repeated rows and further columns
+    change nothing. Places are code points, end exclusive.
+    """
+    found = docs.select(*keep, spans_of(F.col(text)).alias("__both"))
     return found.select(*keep, "__both.base_spans", "__both.pii_spans")
 
 
@@ -185,28 +189,38 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     )
 
 
+def furthest_before(ends: Column) -> Column:
+    """Largest end before each position, 0 before the first. Two levels of ``GROUP``, as in ``running_starts``."""
+
+    def run(values: Column, first: Column) -> Column:
+        zero = F.struct(first.cast("long").alias("top"), F.array().cast("array<bigint>").alias("out"))
+        step = lambda acc, x: F.struct(F.greatest(acc["top"], x).alias("top"), F.array_append(acc["out"], acc["top"]).alias("out"))
+        return F.aggregate(values, zero, step, lambda acc: acc["out"])
+
+    def build(all_ends: Column) -> Column:
+        part = lambda g: F.slice(all_ends, g * GROUP + 1, GROUP)
+        groups = F.sequence(F.lit(0), F.floor((F.size(all_ends) - 1) / GROUP).cast("int"))
+        tops = F.transform(groups, lambda g: F.array_max(part(g)))
+        nested = let(run(tops, F.lit(0)), lambda firsts: F.transform(groups, lambda g: run(part(g), F.get(firsts, g))))
+        return F.when(F.size(all_ends) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(nested))
+
+    return let(ends, build)
+
+
 def mask_pii(text: Column) -> Column:
-    """The text with personal data replaced by its kind in brackets, kind after kind; linear in the text: the pieces
-    between matches are joined with a mask where the match is accepted, with the match itself where it is not."""
-
-    def mask(kind: str, t: Column) -> Column:
-        def build(pieces: Column) -> Column:
-            def rejoin(matches: Column) -> Column:
-                def part(piece: Column, i: Column) -> Column:
-                    m = F.coalesce(F.get(matches, i), F.lit(""))
-                    score = F.lit(PATTERN_SCORE[kind] + (CHECKED if kind in ("card", "iban") else 0))
-                    score = score + F.when(F.lower(F.right(piece, F.lit(CONTEXT_CHARS))).rlike(CONTEXT[kind]), F.lit(NEARBY)).otherwise(F.lit(0.0))
-                    sure = accepted(kind, m) if kind in BASE_KINDS else accepted(kind, m) & (score >= THRESHOLD)
-                    return F.concat(piece, F.when(m == "", m).when(sure, F.lit(f"[{kind.upper()}]")).otherwise(m))
-
-                return F.array_join(F.transform(pieces, part), "")
-
-            return let(F.regexp_extract_all(t, F.lit(PATTERNS[kind]), 0), rejoin)
-
-        gate = F.contains(t, F.lit(GATES[kind])) if kind in GATES else t.rlike("[0-9]")
-        return F.when(gate, let(F.split(t, PATTERNS[kind], -1), build)).otherwise(t)
-
-    out = text
-    for kind in KINDS:
-        out = let(out, lambda t: mask(kind, t))  # noqa: B023  called at once
-    return out
+    """The text with every span of ``spans_of`` replaced by its kind in brackets; spans that overlap become one mask of the
+    first one's kind. A null text stays null."""
+
+    def build(t: Column, spans: Column) -> Column:
+        ends = F.transform(spans, lambda s: s["end"])
+
+        def rejoin(before: Column) -> Column:
+            lead = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.get(before, i).alias("from")))
+            first = F.filter(lead, lambda s: s["start"] >= s["from"])
+            part = lambda s: F.concat(t.substr((s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            tail = t.substr((F.array_max(ends) + 1).cast("int"), F.char_length(t))
+            return F.concat(F.array_join(F.transform(first, part), ""), tail)
+
+        return F.when(F.size(spans) == 0, t).otherwise(let(furthest_before(ends), rejoin))
+
+    return let(text, lambda t: let(spans_of(t), lambda both: let(both["pii_spans"], lambda spans: build(t, spans))))

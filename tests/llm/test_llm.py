@@ -446,3 +446,21 @@ def test_pipeline_equals_brute_force_stages(spark, sf_dir, documents):
 
 def test_every_operator_is_registered():
     assert {k.split("_")[0] for k in QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+
+
+def test_mask_covers_every_reported_span(spark):
+    from pyspark.sql import functions as F
+
+    rows = [
+        (1, "SSN 123-45-6789, 234-56-7890"), (2, "ssn: 123-45-6789; 234-56-7890; 345-67-8901 end"), (3, "numbers 123-45-6789"), (4, None), (5, ""),
+        (6, "ünï mail a@b.de or c@d.org, iban DE89370400440532013000, DE89370400440532013000"), (7, "no data"),
+        (8, "call " + " x ".join(["+49 170 1234567"] * 1300)), (9, "host 10.0.0.1@example.org now"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    masked = {r["doc_id"]: r["t"] for r in df.select("doc_id", pii.mask_pii(F.col("text")).alias("t")).collect()}
+    assert masked[1] == "SSN [SSN], [SSN]" and masked[2] == "ssn: [SSN]; [SSN]; [SSN] end" and masked[3] == rows[2][1]
+    assert masked[4] is None and masked[5] == "" and masked[7] == "no data"
+    assert masked[6] == "ünï mail [EMAIL] or [EMAIL], iban [IBAN], [IBAN]" and masked[8] == "call " + " x ".join(["[PHONE]"] * 1300)
+    assert masked[9] == "host [EMAIL] now"
+    for r in pii.find_pii(df, ["doc_id", "text"]).collect():
+        assert not r["pii_spans"] or all(r["text"][s["start"] : s["end"]] not in masked[r["doc_id"]] for s in r["pii_spans"])
