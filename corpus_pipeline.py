@@ -23,7 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of SimHash near-duplicates (4-word shingles, 4 bits)."""
+    """Keeps the document with the smallest id of each group of SimHash near-duplicates (4-word shingles, 4 bits) and of texts whose
+    5-word shingles are 0.8 similar."""
     return simhash.deduplicated(docs.select(*COLUMNS))
 
 

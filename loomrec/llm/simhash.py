@@ -1,4 +1,8 @@
-"""SimHash near-duplicates through deletion-variant signatures: few segments, each indexed with one bit left open."""
+"""SimHash near-duplicates through deletion-variant signatures: few segments, each indexed with one bit left open.
+
+The pipeline's stage also joins texts whose distinct 5-word shingles have a Jaccard similarity of 0.8 or more, however far their
+fingerprints lie apart: bands of minimum hashes propose pairs, the whole shingle sets decide.
+"""
 
 from __future__ import annotations
 
@@ -14,40 +18,71 @@ from loomrec.llm.graph import components
 
 BITS, SEED, SHINGLE_WORDS, MAX_DIFFERING = 64, 42, 4, 4
 SHINGLE_CHUNK = 50_000
+#: A pair at similarity 0.8 shares none of 20 bands of 5 minima with a chance of 0.0004.
+SIMILAR_WORDS, BANDS, BAND_ROWS, MINIMA_CHUNK = 5, 20, 5, 1024
+#: Keys of texts are broadcast if they have been counted to be at most this many (of 8 bytes); else they are shuffled.
+BROADCAST_ROWS = 1_000_000
+_DRAWN = np.random.default_rng(SEED)
+FACTORS = _DRAWN.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
+OFFSETS = _DRAWN.integers(0, 2**63, BANDS * BAND_ROWS, np.uint64)[:, None] * np.uint64(2)
 LOWER_TABLE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
-    """A bit is 1 if it is set in over half of the shingles' 64-bit hashes; 0 for a text without words."""
+def shingle_hashes(text: bytes, shingle_words: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of all shingles of a text in order, a chunk at a time; nothing for a text without words."""
     import xxhash
 
     words = text.translate(LOWER_TABLE).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(lengths + 1) - lengths - 1
     n = max(1, len(words) - shingle_words + 1)
     firsts = starts[:n].tolist()
     ends = (starts + lengths)[-n:].tolist()
-    counts, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for i in range(0, n, SHINGLE_CHUNK):
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(firsts[i : i + SHINGLE_CHUNK], ends[i : i + SHINGLE_CHUNK])), np.uint64)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(firsts[i : i + SHINGLE_CHUNK], ends[i : i + SHINGLE_CHUNK])), np.uint64)
+
+
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
+    """A bit is 1 if it is set in over half of the shingles' 64-bit hashes; 0 for a text without words."""
+    counts, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, shingle_words):
         counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``fp``, the signed long of the fingerprint of the whole text (null: empty)."""
+def bands(text: bytes) -> np.ndarray:
+    """One key per band of minimum hashes of the 5-word shingles; none for a text without words."""
+    import xxhash
+
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    found = False
+    for hashes in shingle_hashes(text, SIMILAR_WORDS):
+        found = True
+        for i in range(0, len(hashes), MINIMA_CHUNK):
+            np.minimum(least, (hashes[None, i : i + MINIMA_CHUNK] * FACTORS + OFFSETS).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(least[i * BAND_ROWS : (i + 1) * BAND_ROWS].tobytes(), i) for i in range(BANDS if found else 0)]
+    return np.array(keys, np.uint64).view(np.int64)
+
+
+def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", banded: bool = False) -> DataFrame:
+    """``keep`` and ``fp``, the signed long of the fingerprint of the whole text (null: empty); with ``banded`` also its bands."""
     fields = [docs.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x.as_py() or b"") for x in batch.column(len(keep))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found.view(np.int64))], [*keep, "fp"])
+            texts = batch.column(len(keep))
+            found = [pa.array(np.array([fingerprint(x.as_py() or b"") for x in texts], np.uint64).view(np.int64))]
+            if banded:
+                found.append(pa.array([bands(x.as_py() or b"") for x in texts], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *found], [*keep, "fp", "bands"][: len(keep) + len(found)])
 
     small_batches(docs.sparkSession)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["fp long"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["fp long"] + ["bands array<long>"] * banded)
     return docs.select(*keep, F.col(text).cast("binary").alias("__text")).mapInArrow(run, schema)
 
 
@@ -83,18 +118,71 @@ def fingerprint_links(classes: DataFrame, max_differing: int = MAX_DIFFERING) ->
     return left.join(right, (F.col("ka") == F.col("kb")) & sides & close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """text_no and the distinct 5-word shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([*shingle_hashes(x.as_py() or b"", SIMILAR_WORDS), np.zeros(0, np.uint64)])).view(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["text_no", "shingles"])
+
+    return texts.select("text_no", F.col("text").cast("binary").alias("__text")).mapInArrow(run, "text_no long, shingles array<long>")
+
+
+def similar_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b), the fingerprints of the ``pairs`` (ta, a, tb, b) whose texts have a Jaccard similarity of 0.8 or more. Only
+    texts that stand in a pair are read again and shingled, each once."""
+    asked = stored(pairs.select(F.explode(F.array("ta", "tb")).alias("text_no")).distinct(), "asked")
+    side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
+    sets = stored(shingle_sets(docs.select("text_no", "text").join(side, "text_no", "left_semi").dropDuplicates(["text_no"])), "shingle-sets")
+    left = pairs.join(sets.select(F.col("text_no").alias("ta"), F.col("shingles").alias("sa")), "ta")
+    both = left.join(sets.select(F.col("text_no").alias("tb"), F.col("shingles").alias("sb")), "tb")
+    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
+
+
+def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows (fp, text_no, key) with their roots whose key is found in more than one component, each once."""
+    placed = rows.join(roots, F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"), "text_no", "fp")
+    keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
+    return placed.join(keys, "key", "left_semi").distinct()
+
+
+def similar_roots(docs: DataFrame, marked: DataFrame, near: DataFrame) -> DataFrame:
+    """(node, root) of every fingerprint linked by ``near`` or by similar texts that share a band.
+
+    Only texts of components that are still apart are compared: first each of a band's texts with its smallest, which
+    joins a large group of near copies without its square of pairs, then all pairs of the components that this leaves.
+    """
+    near = stored(near, "near-roots")
+    within = near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    rows = stored(apart(marked.select("fp", "text_no", F.explode("bands").alias("key")), near), "bands")
+    head = rows.groupBy("key").agg(F.min(F.struct("root", "text_no", "fp")).alias("h"))
+    pairs = rows.join(head, "key").filter("h.root != root").select(F.col("h.text_no").alias("ta"), F.col("h.fp").alias("a"), F.col("text_no").alias("tb"), F.col("fp").alias("b"))
+    pairs = stored(pairs.distinct(), "first-pairs")
+    first = stored(similar_links(docs, pairs), "first-links")
+    roots = stored(components(within.unionByName(first)), "first-roots")
+    rows = stored(apart(rows.select("fp", "text_no", "key"), roots), "bands")
+    left = rows.select("key", F.col("root").alias("ra"), F.col("text_no").alias("ta"), F.col("fp").alias("a"))
+    right = rows.select("key", F.col("root").alias("rb"), F.col("text_no").alias("tb"), F.col("fp").alias("b"))
+    done = pairs.select("ta", "tb").unionByName(pairs.select(F.col("tb").alias("ta"), F.col("ta").alias("tb")))
+    rest = left.join(right, "key").filter("ra < rb").select("ta", "a", "tb", "b").distinct().join(done, ["ta", "tb"], "left_anti")
+    return components(within.unionByName(first).unionByName(similar_links(docs, stored(rest, "further-pairs"))))
+
+
+def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: tuple[str, ...] = ("doc_id",), similar: bool = True) -> DataFrame:
     """``keep`` (doc_id among them), fp and component_id of every row; component_id is the smallest doc_id reachable over links of at most
-    ``max_differing`` bits.
+    ``max_differing`` bits and, with ``similar``, over texts whose 5-word shingles have a Jaccard similarity of 0.8 or more.
 
     Equal fingerprints are one class before anything is joined, so copies cost one row however many they are; links and
     components run on classes. Null and empty texts have fingerprint zero and are one class; rows that share a doc_id
     each get a row; an empty table gives none; a component of null ids alone has a null id. Tables in the shared folder
     hold fingerprints and links, so nothing is hashed twice.
     """
-    marked = stored(fingerprints(docs, list(keep)), "fingerprints")
+    numbered = docs.withColumn("text_no", F.xxhash64("text")) if similar else docs
+    marked = stored(fingerprints(numbered, [*keep, *["text_no"] * similar], banded=similar), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
     roots = components(fingerprint_links(classes, max_differing))
+    roots = similar_roots(numbered, marked, roots) if similar else roots
     placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
     firsts = placed.filter("linked").groupBy("root").agg(F.min("first_doc").alias("component_id"))
     of_class = placed.join(firsts, "root", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
@@ -102,7 +190,7 @@ def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: t
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:
-    return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return near_duplicates(docs, similar=False).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame, max_differing: int = MAX_DIFFERING) -> DataFrame:

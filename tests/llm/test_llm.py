@@ -464,3 +464,29 @@ def test_mask_covers_every_reported_span(spark):
     assert masked[9] == "host [EMAIL] now"
     for r in pii.find_pii(df, ["doc_id", "text"]).collect():
         assert not r["pii_spans"] or all(r["text"][s["start"] : s["end"]] not in masked[r["doc_id"]] for s in r["pii_spans"])
+
+
+def test_light_edits_are_near_duplicates_at_any_distance(spark):
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    rows, group = [], {}
+    for g in range(30):
+        base = [word() for _ in range(30 + 10 * g)]
+        for copy in range(3):
+            w = list(base)
+            for at in range(4, len(w), 60):
+                w[at] = word() if copy else w[at]
+            rows.append((len(rows), " ".join(w)))
+            group[len(rows) - 1] = g
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    sets = [shingles(t) for _, t in rows]
+    pairs = [(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len({b for _, b in pairs}) >= 40
+    far = [(a, b) for a, b in pairs if (simhash.fingerprint(rows[a][1].encode()) ^ simhash.fingerprint(rows[b][1].encode())).bit_count() > 4]
+    assert far
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] for a, b in pairs) and all(group[d] == group[c] for d, c in got.items())
