@@ -47,17 +47,25 @@ def crc_mod(name: str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a local one where it is unset (a single-machine session)."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local one in a single-machine session and an error on a cluster."""
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        wanted = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="loomrec-checkpoint-")
+        wanted = spark.conf.get("spark.checkpoint.dir", "")
+        if not wanted and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        wanted = wanted or tempfile.mkdtemp(prefix="loomrec-checkpoint-")
         spark.sparkContext.setCheckpointDir(wanted)
     return context.getCheckpointDir().get()
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    path = os.path.join(shared_folder(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -3,6 +3,8 @@
 A block holds whole documents in order. Layout, little-endian: magic ``RKVB``, uint32 documents, uint64 ids; per
 document int64 doc_id, uint8 null flag, uint32 ids; then control bytes (four 2-bit codes each: bytes of a value less 1,
 low bits first) and the values' bytes (1 to 4 each, low byte first). Values are ranks: 0 is the commonest id.
+A folder of files holds ``blocks`` (Parquet rows with a block each) and ``ranks`` (the id of each rank), so it can be read
+without anything else.
 """
 
 from __future__ import annotations
@@ -12,15 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomrec.llm.common import drop_stored, partitions, small_batches, stored
+from loomrec.llm.common import drop_stored, new_path, partitions, small_batches, stored
 from loomrec.llm.tokens import encoder, text_chunks
 
 MAGIC = b"RKVB"
 BLOCK_IDS = 1 << 20
 END_ID = 0
+BLOCKS, RANKS = "part int, seq int, ids_before long, n_ids long, block binary", "rank int, id long"
 #: For each control byte, the four lengths and their offsets from the first value's byte, by the format's rule.
 LENGTHS = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.int64)
 OFFSETS = np.cumsum(LENGTHS, axis=1) - LENGTHS
@@ -124,9 +127,9 @@ def rank_table(tokens: DataFrame) -> list[int]:
     return [r["id"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["id"]))]
 
 
-def write_ranked(tokens: DataFrame, by_rank: list[int]) -> DataFrame:
-    """Blocks of ranked ids in ascending doc_id order (nulls first), written to the shared folder: (part, seq, ids_before,
-    n_ids, block); part and seq give the order, ids_before counts inside the part."""
+def write_ranked(tokens: DataFrame, by_rank: list[int], folder: str) -> None:
+    """Writes ``ranks`` and the blocks of ranked ids in ascending doc_id order (nulls first): (part, seq, ids_before, n_ids,
+    block); part and seq give the order, ids_before counts inside the part."""
     rank_of = np.zeros(max(by_rank, default=0) + 1, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
 
@@ -157,11 +160,15 @@ def write_ranked(tokens: DataFrame, by_rank: list[int]) -> DataFrame:
 
     spark = tokens.sparkSession
     ordered = tokens.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
-    return stored(ordered.mapInArrow(write, "part int, seq int, ids_before long, n_ids long, block binary"), "ranked-ids")
+    spark.createDataFrame(list(enumerate(by_rank)), RANKS).coalesce(1).write.parquet(f"{folder}/ranks")
+    ordered.mapInArrow(write, BLOCKS).write.option("compression", "zstd").parquet(f"{folder}/blocks")
 
 
-def read_ranked(blocks: DataFrame, by_rank: list[int]) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) read back from the blocks; start counts the ids of all documents before."""
+def read_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) read back from a folder of files; start counts the ids of all documents before.
+    The ranks, one for each entry of the vocabulary in use at most, go to every worker."""
+    blocks = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks")
+    by_rank = [r["id"] for r in spark.read.schema(RANKS).parquet(f"{folder}/ranks").orderBy("rank").collect()]
     sums = {r["part"]: r["n"] for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
     starts, total = [], 0
     for part in range(max(sums, default=-1) + 1):
@@ -184,19 +191,20 @@ def read_ranked(blocks: DataFrame, by_rank: list[int]) -> DataFrame:
     return blocks.select("part", "ids_before", "block").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def ranked_id_files(docs: DataFrame, path: str, kind: str = "byte", end_id: int = END_ID) -> tuple[DataFrame, list[int]]:
-    """Encodes every document and writes ranked-id blocks; returns the blocks and the id of each rank.
+def ranked_id_files(docs: DataFrame, path: str, kind: str = "byte", end_id: int = END_ID, folder: str | None = None) -> str:
+    """Encodes every document and writes ranked-id files to ``folder`` (default: a new one in the shared folder), which it
+    returns.
 
     Texts are encoded once, into a table in the shared folder; counting, range partitioning by doc_id and coding read
     that. Null texts count as empty (only the end id); rows with one doc_id stand side by side; an empty table gives no
     blocks; further columns are ignored.
     """
+    folder = folder or new_path(docs.sparkSession, "ranked-ids")
     tokens = stored(token_table(docs, path, kind, end_id), "token-ids")
-    by_rank = rank_table(tokens)
-    blocks = write_ranked(tokens, by_rank)
+    write_ranked(tokens, rank_table(tokens), folder)
     drop_stored(tokens)
-    return blocks, by_rank
+    return folder
 
 
 def ranked_id_digest(docs: DataFrame, path: str) -> DataFrame:
-    return read_ranked(*ranked_id_files(docs, path))
+    return read_ranked(docs.sparkSession, ranked_id_files(docs, path))

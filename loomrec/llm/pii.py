@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.llm.common import let
 
 # Base kinds in their order, then the kinds added here. Patterns start where a run of their first
-# characters starts (or where the last match ended), which finds the same leftmost matches in linear time.
+# characters starts (or where the last match ended), which finds the same leftmost matches in linear time. Repeats are
+# possessive: what follows a repeat never begins like its body, so nothing is lost, and no repeat keeps a stack frame.
 LOCAL_PART = "A-Za-z0-9._%+-"
 PATTERNS = {
-    "email": rf"(?:\G|(?<![{LOCAL_PART}]))[{LOCAL_PART}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:\G|(?<![{LOCAL_PART}]))[{LOCAL_PART}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
@@ -36,22 +39,32 @@ CONTEXT = {
 GROUP = 512
 
 
-def running_starts(lengths: Column) -> Column:
-    """Sum of all lengths before each position. Two levels of ``GROUP``, as appending to an array copies it."""
+def cut_up(text: Column) -> Column:
+    """The text in pieces of ``GROUP`` code points: a ``substr`` of the whole text would walk it from its start each time."""
+    return F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % GROUP), 0)
+
+
+def part_of(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text that ``cut_up`` has cut."""
+    first = F.floor(start / GROUP)
+    near = F.array_join(F.slice(pieces, (first + 1).cast("int"), (F.floor(end / GROUP) - first + 1).cast("int")), "")
+    return near.substr((start - first * GROUP + 1).cast("int"), (end - start).cast("int"))
+
+
+def group_numbers(values: Column) -> Column:
+    return F.sequence(F.lit(0), F.greatest(F.floor((F.size(values) - 1) / GROUP), F.lit(0)).cast("int"))
 
-    def run(values: Column, first: Column) -> Column:
-        zero = F.struct(first.cast("long").alias("sum"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out"))
-        return F.aggregate(values, zero, step, lambda acc: acc["out"])
 
-    def build(all_lengths: Column) -> Column:
-        part = lambda g: F.slice(all_lengths, g * GROUP + 1, GROUP)
-        groups = F.sequence(F.lit(0), F.floor((F.size(all_lengths) - 1) / GROUP).cast("int"))
-        sums = F.transform(groups, lambda g: F.aggregate(part(g), F.lit(0).cast("long"), lambda a, x: a + x))
-        nested = let(run(sums, F.lit(0)), lambda starts: F.transform(groups, lambda g: run(part(g), F.get(starts, g))))
-        return F.when(F.size(all_lengths) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(nested))
+def group_of(values: Column, g: Column) -> Column:
+    return F.slice(values, g * GROUP + 1, GROUP)
 
-    return let(lengths, build)
+
+def before_each(values: Column, first: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """``join`` of ``first`` and all values before each position. For at most some thousand values, as appending to an array
+    copies it; longer arrays go in two levels of ``GROUP``."""
+    zero = F.struct(first.cast("long").alias("so_far"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct(join(acc["so_far"], x).alias("so_far"), F.array_append(acc["out"], acc["so_far"]).alias("out"))
+    return F.aggregate(values, zero, step, lambda acc: acc["out"])
 
 
 def luhn(match: Column) -> Column:
@@ -95,84 +108,99 @@ def accepted(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def proposed(text: Column, kind: str) -> Column:
-    """Accepted matches of a kind as (start, kind_no, end, kind, score), leftmost first. ``split`` and
-    ``regexp_extract_all`` walk the same matches, so lengths of both give the places in code points."""
-    pattern, no = F.lit(PATTERNS[kind]), KINDS.index(kind)
-
-    def spans(matches: Column) -> Column:
-        def place(lengths: Column) -> Column:
-            starts = running_starts(lengths)
-            return let(
-                starts,
-                lambda at: F.transform(
-                    matches,
-                    lambda m, i: F.struct(
-                        F.get(at, i * 2 + 1).alias("start"), F.lit(no).alias("kind_no"),
-                        (F.get(at, i * 2 + 1) + F.char_length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("match"),
-                    ),
-                ),
-            )
-
-        pieces = F.split(text, PATTERNS[kind], -1)
-        lengths = F.flatten(
-            F.transform(pieces, lambda p, i: F.array(F.char_length(p).cast("long"), F.coalesce(F.char_length(F.get(matches, i)), F.lit(0)).cast("long")))
-        )
-        return F.filter(let(lengths, place), lambda s: accepted(kind, s["match"]))
-
-    none = F.filter(
-        F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).alias("kind_no"), F.lit(0).cast("long").alias("end"), F.lit("").alias("kind"), F.lit("").alias("match"))),
-        lambda s: F.lit(False),
-    )
-    gate = F.contains(text, F.lit(GATES[kind])) if kind in GATES else text.rlike("[0-9]")
-    found = let(F.regexp_extract_all(text, pattern, 0), lambda m: F.when(F.size(m) == 0, none).otherwise(spans(m)))
-    return F.when(gate, found).otherwise(none)
+def proposed(docs: DataFrame) -> DataFrame:
+    """Adds ``__found``, accepted matches as (start, kind_no, end, kind, match) kind by kind, leftmost first. ``split`` and
+    ``regexp_extract_all`` walk the same matches, so lengths of both give the places in code points. All kinds share each
+    expression, and each step is a projection: what nests deeper takes the analyser many times longer. ``let`` binds each
+    column that a lambda reads, as the optimiser may put the column's expression in its place."""
+    body, no_text = F.col("__text"), F.filter(F.array(F.lit("")), lambda x: F.lit(False))
+    digits = body.rlike("[0-9]")
+    gate = lambda k: F.contains(body, F.lit(GATES[k])) if k in GATES else digits
+    matches = F.array(*[F.when(gate(k), F.regexp_extract_all(body, F.lit(PATTERNS[k]), 0)).otherwise(no_text) for k in KINDS])
+    between = F.array(*[F.when(gate(k), F.split(body, PATTERNS[k], -1)).otherwise(no_text) for k in KINDS])
+    chars = lambda x: F.coalesce(F.char_length(x), F.lit(0)).cast("long")
+    own = lambda between, m, k: F.flatten(F.transform(F.get(between, k), lambda p, i: F.array(chars(p), chars(F.get(m, i)))))
+    lengths = let(F.col("__between"), lambda between: F.transform(F.col("__matches"), lambda m, k: own(between, m, k)))
+    plus = lambda a, x: a + x
+    sums = F.transform(F.col("__lengths"), lambda v: F.transform(group_numbers(v), lambda g: F.aggregate(group_of(v, g), F.lit(0).cast("long"), plus)))
+    firsts = F.transform(F.col("__sums"), lambda v: before_each(v, F.lit(0), plus))
+    inside = lambda v, firsts: F.flatten(F.transform(firsts, lambda first, g: before_each(group_of(v, g), first, plus)))
+    starts = let(F.col("__firsts"), lambda firsts: F.transform(F.col("__lengths"), lambda v, k: inside(v, F.get(firsts, k))))
+    names = F.array(*[F.lit(k) for k in KINDS])
+
+    def place(starts: Column, m: Column, i: Column, k: Column) -> Column:
+        start = F.get(F.get(starts, k), i * 2 + 1)
+        return F.struct(start.alias("start"), k.alias("kind_no"), (start + F.char_length(m)).alias("end"), F.get(names, k).alias("kind"), m.alias("match"))
+
+    spans = let(F.col("__starts"), lambda at: F.flatten(F.transform(F.col("__matches"), lambda ms, k: F.transform(ms, lambda m, i: place(at, m, i, k)))))
+
+    def good(s: Column) -> Column:
+        out = F.lit(True)
+        for k in KINDS:
+            if k != "email":
+                out = F.when(s["kind"] == k, accepted(k, s["match"])).otherwise(out)
+        return out
 
+    out = docs.select("*", matches.alias("__matches"), between.alias("__between")).select("*", lengths.alias("__lengths"))
+    out = out.select("*", sums.alias("__sums")).select("*", firsts.alias("__firsts")).select("*", starts.alias("__starts"))
+    return out.select(*docs.columns, spans.alias("__spans")).select(*docs.columns, F.filter("__spans", good).alias("__found"))
 
-def scored(text: Column, spans: Column) -> Column:
-    """Adds the score of each span: pattern, checksum, and context words within ``CONTEXT_CHARS`` before it."""
+
+def scored(docs: DataFrame) -> DataFrame:
+    """Adds ``__scored``: the spans with their score from pattern, checksum, and context words within ``CONTEXT_CHARS``
+    before."""
     base = F.create_map(*[v for k in KINDS for v in (F.lit(k), F.lit(PATTERN_SCORE[k] + (CHECKED if k in ("card", "iban") else 0)))])
+    before = lambda pieces, s: F.lower(part_of(pieces, F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)), s["start"]))
 
     def score(s: Column) -> Column:
-        before = F.lower(text.substr(F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(s["start"], F.lit(CONTEXT_CHARS)).cast("int")))
         near = F.lit(False)
         for k in KINDS:
-            near = near | ((s["kind"] == k) & before.rlike(CONTEXT[k]))
-        return F.least(F.lit(1.0), base[s["kind"]] + F.when(near, F.lit(NEARBY)).otherwise(F.lit(0.0)))
+            near = near | ((s["s"]["kind"] == k) & s["before"].rlike(CONTEXT[k]))
+        points = F.least(F.lit(1.0), base[s["s"]["kind"]] + F.when(near, F.lit(NEARBY)).otherwise(F.lit(0.0)))
+        return F.struct(*[s["s"][n].alias(n) for n in ("start", "kind_no", "end", "kind")], points.alias("score"))
+
+    beside = let(F.col("__pieces"), lambda pieces: F.transform("__found", lambda s: F.struct(s.alias("s"), before(pieces, s).alias("before"))))
+    return docs.select("*", beside.alias("__beside")).select(*docs.columns, F.transform("__beside", score).alias("__scored")).drop("__found")
 
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), s["kind"].alias("kind"), score(s).alias("score")))
 
+def with_furthest(docs: DataFrame, values: Column, name: str) -> DataFrame:
+    """Adds ``name``: the largest of ``values`` before each position, 0 before the first."""
+    most = lambda a, x: F.greatest(a, x)
+    tops = let(F.col("__values"), lambda v: F.transform(group_numbers(v), lambda g: F.coalesce(F.array_max(group_of(v, g)), F.lit(0).cast("long"))))
+    firsts = before_each(F.col("__tops"), F.lit(0), most)
+    out = let(F.col("__values"), lambda v: F.flatten(F.transform("__first_tops", lambda first, g: before_each(group_of(v, g), first, most))))
+    docs = docs.select("*", values.alias("__values")).select("*", tops.alias("__tops")).select("*", firsts.alias("__first_tops"))
+    return docs.select("*", out.alias(name)).drop("__values", "__tops", "__first_tops")
 
-def spans_of(text: Column) -> Column:
-    """(base_spans, pii_spans) of a text, arrays of (start, kind_no, end, kind, score) by start, then kind; a null text counts as empty."""
 
-    def pick(t: Column) -> Column:
-        base = F.sort_array(scored(t, F.concat(*[proposed(t, k) for k in BASE_KINDS])))
-        more = scored(t, F.concat(*[proposed(t, k) for k in KINDS if k not in BASE_KINDS]))
-        return let(
-            base,
-            lambda b: let(
-                F.filter(more, lambda s: (s["score"] >= THRESHOLD) & ~F.exists(b, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))),
-                lambda m: F.struct(b.alias("base_spans"), F.sort_array(F.concat(b, m)).alias("pii_spans")),
-            ),
-        )
+def with_spans(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """``keep`` with the text, its pieces, ``base_spans`` and ``pii_spans``.
 
-    nothing = F.lit(None).cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string,score:double>>")
-    empty = F.coalesce(nothing, F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint,kind:string,score:double>>"))
-    body = F.coalesce(text, F.lit(""))
-    gate = F.contains(body, F.lit("@")) | body.rlike("[0-9]")
-    return let(body, lambda t: F.when(gate, pick(t)).otherwise(F.struct(empty.alias("base_spans"), empty.alias("pii_spans"))))
+    An added span must be apart from all base spans: base spans by start and added ones by end are sorted together, and one
+    overlaps if the furthest end of the base spans before it lies beyond its start.
+    """
+    cut = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("__text")).select("*", cut_up(F.col("__text")).alias("__pieces"))
+    is_base = lambda s: s["kind_no"] < len(BASE_KINDS)
+    split = scored(proposed(cut)).select(
+        *keep, "__text", "__pieces", F.sort_array(F.filter("__scored", is_base)).alias("base_spans"),
+        F.filter("__scored", lambda s: ~is_base(s) & (s["score"] >= THRESHOLD)).alias("__more"),
+    )
+    event = lambda at, base: lambda s: F.struct(s[at].alias("at"), F.lit(base).alias("base"), s.alias("span"))
+    events = F.when(F.size("__more") > 0, F.sort_array(F.concat(F.transform("base_spans", event("start", 1)), F.transform("__more", event("end", 0)))))
+    swept = with_furthest(split.select("*", events.alias("__events")), F.transform("__events", lambda e: F.when(e["base"] == 1, e["span"]["end"]).otherwise(F.lit(0).cast("long"))), "__reach")
+    free = let(F.col("__reach"), lambda reach: F.filter("__events", lambda e, i: (e["base"] == 0) & (F.get(reach, i) <= e["span"]["start"])))
+    spans = F.when(F.size("__more") > 0, F.sort_array(F.concat("base_spans", F.transform("__free", lambda e: e["span"])))).otherwise(F.col("base_spans"))
+    return swept.select("*", free.alias("__free")).select(*keep, "__text", "__pieces", "base_spans", spans.alias("pii_spans"))
 
 
 def find_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """Adds ``base_spans`` and ``pii_spans``, arrays of (start, kind_no, end, kind, score) by start, then kind.
+    """``keep`` with ``base_spans`` and ``pii_spans``, arrays of (start, kind_no, end, kind, score) by start, then kind.
 
     Base kinds keep every accepted match; added kinds (iban, ssn) need the threshold and no overlap with a base span.
-    Row by row: no shuffle, no Python. A null text counts as empty and has no spans; repeated rows and further columns
-    change nothing. Places are code points, end exclusive.
+    Row by row: no shuffle, no Python; work grows with the length of a text, whatever repeats in it. A null text counts as
+    empty and has no spans; repeated rows and further columns change nothing. Places are code points, end exclusive.
     """
-    found = docs.select(*keep, spans_of(F.col(text)).alias("__both"))
-    return found.select(*keep, "__both.base_spans", "__both.pii_spans")
+    return with_spans(docs, keep, text).select(*keep, "base_spans", "pii_spans")
 
 
 def spans_text(spans: Column) -> Column:
@@ -189,38 +217,15 @@ def pii_digest(docs: DataFrame) -> DataFrame:
     )
 
 
-def furthest_before(ends: Column) -> Column:
-    """Largest end before each position, 0 before the first. Two levels of ``GROUP``, as in ``running_starts``."""
-
-    def run(values: Column, first: Column) -> Column:
-        zero = F.struct(first.cast("long").alias("top"), F.array().cast("array<bigint>").alias("out"))
-        step = lambda acc, x: F.struct(F.greatest(acc["top"], x).alias("top"), F.array_append(acc["out"], acc["top"]).alias("out"))
-        return F.aggregate(values, zero, step, lambda acc: acc["out"])
-
-    def build(all_ends: Column) -> Column:
-        part = lambda g: F.slice(all_ends, g * GROUP + 1, GROUP)
-        groups = F.sequence(F.lit(0), F.floor((F.size(all_ends) - 1) / GROUP).cast("int"))
-        tops = F.transform(groups, lambda g: F.array_max(part(g)))
-        nested = let(run(tops, F.lit(0)), lambda firsts: F.transform(groups, lambda g: run(part(g), F.get(firsts, g))))
-        return F.when(F.size(all_ends) == 0, F.array().cast("array<bigint>")).otherwise(F.flatten(nested))
-
-    return let(ends, build)
-
-
-def mask_pii(text: Column) -> Column:
-    """The text with every span of ``spans_of`` replaced by its kind in brackets; spans that overlap become one mask of the
-    first one's kind. A null text stays null."""
-
-    def build(t: Column, spans: Column) -> Column:
-        ends = F.transform(spans, lambda s: s["end"])
-
-        def rejoin(before: Column) -> Column:
-            lead = F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.get(before, i).alias("from")))
-            first = F.filter(lead, lambda s: s["start"] >= s["from"])
-            part = lambda s: F.concat(t.substr((s["from"] + 1).cast("int"), (s["start"] - s["from"]).cast("int")), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-            tail = t.substr((F.array_max(ends) + 1).cast("int"), F.char_length(t))
-            return F.concat(F.array_join(F.transform(first, part), ""), tail)
-
-        return F.when(F.size(spans) == 0, t).otherwise(let(furthest_before(ends), rejoin))
-
-    return let(text, lambda t: let(spans_of(t), lambda both: let(both["pii_spans"], lambda spans: build(t, spans))))
+def mask_pii(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` and the text with every span that ``find_pii`` reports replaced by its kind in brackets; spans that overlap
+    become one mask of the first one's kind. A null text stays null."""
+    spans, pieces = F.col("pii_spans"), F.col("__pieces")
+    ends = F.transform(spans, lambda s: s["end"])
+    found = with_spans(docs.select(*keep, text, F.col(text).isNull().alias("__null")), [*keep, "__null"], text)
+    lead = let(F.col("__before"), lambda before: F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), F.get(before, i).alias("from"))))
+    ahead = with_furthest(found, ends, "__before").select("*", lead.alias("__lead"))
+    part = lambda p, s: F.concat(part_of(p, s["from"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    parts = let(pieces, lambda p: F.transform(F.filter("__lead", lambda s: s["start"] >= s["from"]), lambda s: part(p, s)))
+    masked = F.concat(F.array_join(parts, ""), part_of(pieces, F.array_max(ends), F.char_length("__text").cast("long")))
+    return ahead.select(*keep, F.when(~F.col("__null"), F.when(F.size(spans) == 0, F.col("__text")).otherwise(masked)).alias(text))

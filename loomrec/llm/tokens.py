@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,14 @@ ODD_WORD = [*MARKS, *RARE_SPACES]
 JOINED = 2000
 
 
+def ends_in_letter(stem: str) -> bool:
+    """All letters, and a letter of the Latin, Greek or Cyrillic blocks at the end after composition and lower-casing."""
+    return stem.isalpha() and (last := unicodedata.normalize("NFC", stem[-4:]).lower()[-1:]) < "\u0530" and last.isalpha()
+
+
 class PieceEncoder:
-    """Equals ``Tokenizer.encode(text, add_special_tokens=False).ids``; strings of special tokens are ordinary text.
+    """Equals ``Tokenizer.encode(text, add_special_tokens=False).ids`` of the file as it stands, so a special token's string
+    in a text gives that token's id; such a text goes to the library whole.
 
     kind ``byte``: the byte-level pattern lets a single space belong only to what follows it, so a text may be cut before
     any space that a non-space follows, and around single newlines. kind ``word``: white space only separates, so a text
@@ -31,7 +38,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cut = {"byte": self._cut_byte, "word": self._cut_word}[kind]
         self.odd = ODD_BYTE if kind == "byte" else ODD_WORD
         self.before_space = re.compile(r"(?= \S)")
@@ -52,6 +59,8 @@ class PieceEncoder:
 
     def _cut_byte(self, text: str) -> list[str]:
         """Keys of the pieces: \\1 marks the first, \\2 a literal piece; others follow a space or start with a newline."""
+        if any(x in text for x in self.special):
+            return ["\2" + text]
         if any(x in text for x in self.odd):
             return ["\2" + x for x in self.before_space.split(text)]
         pieces = text.replace("\n", " \n").split(" ")
@@ -59,7 +68,7 @@ class PieceEncoder:
         return pieces
 
     def _cut_word(self, text: str) -> list[str]:
-        return ["\2" + text] if any(x in text for x in self.odd) else text.split()
+        return ["\2" + text] if any(x in text for x in (*self.odd, *self.special)) else text.split()
 
     def _literal(self, key: str) -> str:
         if key[:1] in ("\1", "\2"):
@@ -93,9 +102,10 @@ class PieceEncoder:
         return [found[k] for k in keys]
 
     def _learn(self, keys: list[str]) -> None:
-        """A word with one comma or full stop is its stem and that mark, so only stems are encoded."""
+        """A word with one comma or full stop is its stem and that mark, so only stems are encoded; not where normal form
+        may end in a combining mark, which would join the stop."""
         tail = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ",."}
-        stems = {k: k[:-1] for k in keys if k[-1:] in tail and k[:-1].isalpha()}
+        stems = {k: k[:-1] for k in keys if k[-1:] in tail and ends_in_letter(k[:-1])}
         bare = list(set(stems.values()).union(k for k in keys if k not in stems).difference(self.number))
         self._store(bare, self._ids(bare))
         derived = list(stems)

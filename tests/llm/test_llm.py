@@ -124,14 +124,16 @@ def test_values_round_trip(n):
 
 @pytest.mark.parametrize(("file", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_pieces_equal_whole_texts(file, kind, texts):
-    enc = PieceEncoder(tokenizer_path(file), kind)
+    from tokenizers import Tokenizer
+
+    enc, plain = PieceEncoder(tokenizer_path(file), kind), Tokenizer.from_file(tokenizer_path(file))
     rng = np.random.default_rng(1)
     alphabet = np.array(["a", " ", "\n", "b'", "1", ".", "é", "\t", "\x1d", "'s", " '", ",", "\x01", " ", "Straße", "word."])
     odd = ["".join(rng.choice(alphabet, rng.integers(0, 14))) for _ in range(2000)]
     for batch in ([t for _, t in texts], odd, ["", "<|endoftext|> a<|endoftext|>"], odd):
         ids, counts = enc.encode(batch)
         for e, c, t in zip(np.cumsum(counts), counts, batch):
-            assert ids[e - c : e].tolist() == enc.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+            assert ids[e - c : e].tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 
 
 def test_files_read_back_in_order(documents, mixed, empty):
@@ -156,6 +158,24 @@ def test_files_read_back_in_order(documents, mixed, empty):
     assert encoding.ranked_id_digest(empty, tokenizer_path("byte_bpe_50k.json")).count() == 0
 
 
+def test_files_are_read_without_their_writer(spark, mixed, tmp_path):
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    folder = encoding.ranked_id_files(mixed, path, folder=str(tmp_path / "files"))
+    id_of = pq.read_table(f"{folder}/ranks").sort_by("rank").column("id").to_numpy()
+    found = []
+    for block in pq.read_table(f"{folder}/blocks").column("block").to_pylist():
+        docs, counts, ranks = encoding.read_block(block)
+        ends = np.cumsum(counts)
+        found += [(d, id_of[ranks[e - c : e]].tolist()) for d, c, e in zip(docs, counts, ends)]
+    tok = Tokenizer.from_file(path)
+    want = [(d, [*tok.encode(t or "", add_special_tokens=False).ids, 0]) for d, t in MIXED]
+    key = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    assert sorted(found, key=key) == sorted(want, key=key)
+
+
 # 4 toxicity
 
 
@@ -224,9 +244,12 @@ def test_copies_under_near_urls_keep_their_text(spark):
 # 6 packing
 
 
-def test_packing_is_gapless_and_tight(documents, mixed, empty):
+def test_packing_is_gapless_and_tight(spark, documents, mixed, empty):
+    from tokenizers import Tokenizer
+
     path = tokenizer_path("word_bpe_49k.json")
-    for df in (documents, mixed):
+    tok = Tokenizer.from_file(path)
+    for df in (documents, mixed, frame(spark, [(1, "TARİHİ. tarih, a<|endoftext|> b"), (1, "İ.")])):
         rows = packing.pack_documents(df, path).collect()
         sequences = defaultdict(list)
         for r in rows:
@@ -239,6 +262,13 @@ def test_packing_is_gapless_and_tight(documents, mixed, empty):
             assert at <= 4096
         total = sum(r["length"] for r in rows)
         assert len(sequences) <= math.ceil(total / 4096) * 1.05 + 1
+        want = Counter()
+        for r in df.collect():
+            ids = [*tok.encode(r["text"] or "", add_special_tokens=False).ids, 1]
+            for k, at in enumerate(range(0, len(ids), 4096)):
+                part = np.array(ids[at : at + 4096], "<u4")
+                want[r["doc_id"], k, at, len(part), zlib.crc32(part.tobytes())] += 1
+        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
         assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in df.collect())
     assert packing.pack_documents(empty, path).count() == 0
 
@@ -412,13 +442,30 @@ def test_pii_matches_brute_force(spark, documents, mixed, empty):
     assert pii.pii_digest(empty).count() == 0
 
 
+def test_pii_takes_a_million_repeats_of_each_kind(spark):
+    n = 1_000_000
+    # text, its base spans: the plain patterns would take quadratic time here
+    cases = [
+        ("a@b" + ".c" * n, [("email", 0, 3 + 2 * n)]), ("a" * n + "@b.c", [("email", 0, n + 4)]), ("a@" + "b" * n + ".c", [("email", 0, n + 4)]),
+        ("1." * n, [("ip", i, i + 7) for i in range(0, 2 * n, 8)]), ("1.2.3." + "4" * n + "x", []), ("1" * n, []), ("4 " * n, []), ("4-" * n + "4", []),
+        ("+1" + " 1" * n, []), ("+1" + " " * n + "2", []), ("+1" * n, []), ("GB82" + " WEST" * n, []), ("A" * n, []), ("123-45-6789-" * (n // 10), []),
+        ("1.2.3.4 a@b.c " * 5000, [x for i in range(0, 70_000, 14) for x in (("ip", i, i + 7), ("email", i + 8, i + 13))]),
+    ]
+    df = frame(spark, [(i, t) for i, (t, _) in enumerate(cases)]).repartition(4)
+    for r in pii.pii_digest(df).collect():
+        spans = cases[r["doc_id"]][1]
+        digest = hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in spans).encode()).hexdigest()
+        assert (r["base_sha256"], r["n_email"], r["n_ip"]) == (digest, sum(x[0] == "email" for x in spans), sum(x[0] == "ip" for x in spans)), r["doc_id"]
+    from pyspark.sql import functions as F
+
+    assert pii.mask_pii(df, ["doc_id"]).select(F.sum(F.char_length("text")).alias("n")).first()["n"] > 0
+
+
 def test_checksums_and_context_add_spans_and_masks(spark):
     text = "IBAN GB82 WEST 1234 5698 7654 32 and GB00 WEST 1234 5698 7654 32; ssn 123-45-6789, part 123-45-6789 x@y.zz"
     df = frame(spark, [(1, text)])
     assert [x.split(":")[0] for x in pii.pii_digest(df).first()["spans"].split(",")] == ["iban", "ssn", "ssn", "email"]
-    from pyspark.sql import functions as F
-
-    masked = df.select(pii.mask_pii(F.col("text")).alias("t")).first()["t"]
+    masked = pii.mask_pii(df, ["doc_id"]).first()["text"]
     assert "x@y.zz" not in masked and "GB82" not in masked and "GB00" in masked and "[EMAIL]" in masked
 
 
@@ -449,15 +496,13 @@ def test_every_operator_is_registered():
 
 
 def test_mask_covers_every_reported_span(spark):
-    from pyspark.sql import functions as F
-
     rows = [
         (1, "SSN 123-45-6789, 234-56-7890"), (2, "ssn: 123-45-6789; 234-56-7890; 345-67-8901 end"), (3, "numbers 123-45-6789"), (4, None), (5, ""),
         (6, "ünï mail a@b.de or c@d.org, iban DE89370400440532013000, DE89370400440532013000"), (7, "no data"),
-        (8, "call " + " x ".join(["+49 170 1234567"] * 1300)), (9, "host 10.0.0.1@example.org now"),
+        (8, "call " + " x ".join(["+49 170 1234567"] * 1300)), (9, "host 10.0.0.1@example.org now"), (10, "x" * 510 + " a@b.de " + "y" * 600 + " ssn 123-45-6789"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    masked = {r["doc_id"]: r["t"] for r in df.select("doc_id", pii.mask_pii(F.col("text")).alias("t")).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_pii(df, ["doc_id"]).collect()}
     assert masked[1] == "SSN [SSN], [SSN]" and masked[2] == "ssn: [SSN]; [SSN]; [SSN] end" and masked[3] == rows[2][1]
     assert masked[4] is None and masked[5] == "" and masked[7] == "no data"
     assert masked[6] == "ünï mail [EMAIL] or [EMAIL], iban [IBAN], [IBAN]" and masked[8] == "call " + " x ".join(["[PHONE]"] * 1300)
