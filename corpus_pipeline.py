@@ -35,7 +35,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the text and counts its characters anew; keeps every document."""
-    masked = docs.select("doc_id", pii.mask_pii(F.col("text")).alias("text"), "lang", "source")
+    masked = pii.mask_pii(docs, ["doc_id", "lang", "source"])
     return masked.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
