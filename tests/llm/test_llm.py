@@ -241,6 +241,60 @@ def test_copies_under_near_urls_keep_their_text(spark):
     assert {r["text"] for r in pages.main_texts(df).collect()} == {"the very same story in two places"}
 
 
+def test_pages_that_differ_by_query_or_stand_among_copies_lose_their_template(spark):
+    def page(*own):
+        return "<div>Subscribe now to our letter</div>" + "".join(f"<p>{x}</p>" for x in own) + "<div>All rights reserved by us</div>"
+
+    rows = [(i, f"http://q/view?id={i}", page(f"story number {i} of the query host")) for i in range(4)]
+    rows += [(10 + i, f"http://c/{i}", page("one story in many copies")) for i in range(5)] + [(20, "http://c/9", page("another story, told once only"))]
+    rows += [(30 + i, f"http://s/{i}", page(f"tale {i}")) for i in range(6)]  # the template is most of each page
+    got = {r["page_id"]: r["text"] for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"story number {i} of the query host" for i in range(4)]
+    assert {got[10 + i] for i in range(5)} == {"one story in many copies"} and got[20] == "another story, told once only"
+    assert [got[30 + i] for i in range(6)] == [f"tale {i}" for i in range(6)]
+
+
+def test_blocks_change_no_neighbour(spark, monkeypatch):
+    """Brute force over each host's different pages in order, with blocks much smaller than a host."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(120):
+        host, body = f"h{rng.integers(0, 3)}", [f"line {x}" for x in rng.integers(0, 60, rng.integers(1, 7))]
+        rows.append((i, f"http://{host}/{rng.integers(0, 40):03d}?p={i % 2}", "".join(f"<p>{x}</p>" for x in ["top", *body, f"end of {host}"])))
+    rows.append((500, "http://h0/007", "<article><p>marked</p></article>"))
+    rows = rows * 2
+    monkeypatch.setattr(pages, "BLOCK_PAGES", 8)
+    got = sorted((r["page_id"], r["text"]) for r in pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+
+    outline = {i: [t for t, p in pages.page_lines(h) if p] for i, _, h in rows}
+    line, want = {}, []
+    for i, u, _ in rows:
+        host, path = u[7:].split("/", 1)
+        key = (host, tuple(outline[i]))
+        line[key] = min(line.get(key, "~"), "/" + path)
+    order = sorted((host, path, pages.line_hash("\n".join(own)), own) for (host, own), path in line.items())
+    number = {t: k for k, t in enumerate(sorted({t for x in order for t in x[3]}))}
+    codes = lambda own: [number[t] for t in own]
+    shared = {}
+    for k, (host, path, _, own) in enumerate(order):
+        near = [(-pages.common_prefix(path, order[j][1]), abs(j - k), j) for j in range(max(0, k - 3), min(len(order), k + 4)) if j != k and order[j][0] == host]
+        shared[host, own] = pages.shared_lines((codes(own), [len(t) for t in own]), [codes(order[j][3]) for _, _, j in sorted(near)])
+    for i, u, _ in rows:
+        host = u[7:].split("/", 1)[0]
+        gone = shared[host, tuple(outline[i])] if i != 500 else ()
+        want.append((i, " ".join(t for k, t in enumerate(outline[i]) if k not in gone)))
+    assert got == sorted(want) and sum(map(len, shared.values())) > 100
+
+
+@pytest.mark.parametrize("page", ["<a " * 300_000, '<a "' * 250_000, "<a '" * 250_000, "<div>" * 200_000 + "</b>" * 20_000 + "<p>x" * 20_000, "<!--" * 250_000, "<!x" * 300_000, "<" * 10**6, "<td>" * 200_000, "</div>" * 150_000, "<a" * 500_000, "<p>a<b " * 120_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    pages.page_lines(page)
+    assert time.process_time() - began < 4
+
+
 # 6 packing
 
 
