@@ -185,9 +185,47 @@ def test_toxicity_generalises(spark, sf_dir):
     truth = {r["doc_id"]: r["toxic"] for r in labels.collect()}
     held = [(got[d]["predicted"], y) for d, y in truth.items() if got[d]["held_out"]]
     assert all(got[d]["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) for d in truth)
-    right = sum(p == y for p, y in held) / len(held)
     precision = sum(p and y for p, y in held) / max(1, sum(p for p, _ in held))
-    assert right > 0.9 and precision > 0.8
+    recall = sum(p and y for p, y in held) / sum(y for _, y in held)
+    assert precision >= 0.95 and recall >= 0.75  # measured: 1.0 and 0.78 here, 1.0 and 0.92 at sf0.1
+    learned, _ = toxicity.train(docs, labels)
+    patterns, counts = toxicity.vote_patterns(docs, learned)
+    assert counts.sum() == sum(zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 for r in docs.select("doc_id").collect())
+    fired = dict(zip(toxicity.Voters(learned).names, (np.abs(patterns) * counts[:, None]).sum(axis=0)))
+    assert all(n > 0 for n in fired.values()), fired
+
+
+def test_label_model_matches_brute_force_and_finds_accuracies():
+    rng = np.random.default_rng(6)
+    truth = rng.random(3000) < 0.3
+    says = lambda hit, miss: np.where(rng.random(3000) < np.where(truth, hit, miss), 1, 0)
+    strong, weak, copy = says(0.8, 0.02), says(0.5, 0.05), says(0.6, 0.04)
+    rows = np.stack([strong, weak, copy, copy, np.where((strong + weak + copy) == 0, -1, 0)], axis=1).astype(np.int8)
+    patterns, counts = np.unique(rows, axis=0, return_counts=True)
+    model = toxicity.LabelModel(patterns, counts.astype(float), 0.3)
+
+    post = [0.05 if (r == -1).any() else 0.9 if (r == 1).sum() >= 3 else 0.4 for r in rows]
+    weight = [1.0] * 5
+    for _ in range(25):
+        table = {}
+        for m in range(5):
+            for v in (-1, 0, 1):
+                for y in (0, 1):
+                    p = np.array(post) if y else 1 - np.array(post)
+                    table[m, v, y] = math.log((p[rows[:, m] == v].sum() + 0.1) / (p.sum() + 0.3))
+        odds = {tuple(x): math.log(0.3 / 0.7) + sum(weight[m] * (table[m, v, 1] - table[m, v, 0]) for m, v in enumerate(x.tolist())) for x in patterns}
+        post = [1 / (1 + math.exp(-odds[tuple(r)])) for r in rows]
+        fired, over = rows == 1, np.zeros((5, 5))
+        for p in (1 - np.array(post), np.array(post)):
+            for a in range(5):
+                for b in range(5):
+                    ma, mb, both = (p[f].sum() / p.sum() for f in (fired[:, a], fired[:, b], fired[:, a] & fired[:, b]))
+                    if a != b:
+                        over[a, b] += p.mean() * min(1, max(0, (both - ma * mb) / (math.sqrt(ma * (1 - ma) * mb * (1 - mb)) + 1e-6)))
+        weight = [1 / (1 + over[a].sum()) for a in range(5)]
+    assert np.allclose(model.posterior(rows), post) and np.allclose(model.weight, weight)
+    assert max(weight[2:4]) < min(weight[:2])  # the two that always agree count less
+    assert ((model.posterior(rows) > 0.5) == truth).mean() > 0.85
 
 
 def test_toxicity_edges(spark, mixed, empty):
