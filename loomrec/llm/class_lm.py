@@ -1,6 +1,10 @@
 """Brown class-based bigrams: exchange clustering assigns every word a class; log P(w | previous) is the class transition
 plus the word's emission.
 
+The CONTEXT_WORDS commonest words are exchanged one by one over their own bigrams. All words are then exchanged in rounds: each
+moves to the class that its neighbours on both sides speak for, until the likelihood of the class bigrams settles. A neighbour
+outside the context words counts as one class of its own, RARE.
+
 Words are 64-bit hashes of their lower-cased bytes (two of V words collide with odds of V^2 / 2^65). Counts of words, of
 word-and-context pairs and of class transitions cover every training text. Tables that grow with the vocabulary live in
 Spark; what is sent to workers is bounded by CONTEXT_WORDS and CLASSES.
@@ -18,7 +22,9 @@ from pyspark.sql import functions as F
 
 from loomrec.llm.common import crc_mod, drop_stored, partitions, small_batches, stored
 
-CLASSES, CONTEXT_WORDS, EXCHANGE_ROUNDS, DRIVER_ROUNDS = 32, 512, 3, 12
+CLASSES, CONTEXT_WORDS, MAX_ROUNDS, SETTLED, DRIVER_ROUNDS = 32, 1024, 10, 1e-3, 12
+#: Contexts: class of the word before (or RARE), then of the word after, the same numbers above SIDE.
+RARE, SIDE = CLASSES, CLASSES + 1
 HELD_OUT_MODULUS, HELD_OUT_REMAINDER = 7, 2
 TRANSITION_SMOOTHING = 50.0
 BLOCK_TOKENS, FLUSH_TOKENS, CHUNK_BYTES = 1_500_000, 2_000_000, 500_000
@@ -102,12 +108,11 @@ def word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def last_known(codes: np.ndarray, start: int) -> np.ndarray:
-    """For each position the last non-negative code strictly before it; ``start`` where there is none."""
-    known = np.where(codes >= 0, np.arange(len(codes)), -1)
-    at = np.maximum.accumulate(known)
-    at = np.concatenate([[-1], at[:-1]])
-    return np.where(at >= 0, codes[np.maximum(at, 0)], start)
+def neighbours(codes: np.ndarray, ends: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the tokens before and after each one; before a text's first and after its last token stands ``end``."""
+    before, after = np.concatenate([[end], codes[:-1]]), np.concatenate([codes[1:], [end]])
+    after[ends - 1] = end
+    return before, after
 
 
 class Coder:
@@ -124,7 +129,7 @@ class Coder:
 
 
 def context_matrix(train: DataFrame, words: list[int]) -> np.ndarray:
-    """Counts of (previous context word, context word) over all training texts; at most CONTEXT_WORDS^2 sums reach the
+    """Counts of adjacent context words (previous, next) over all training texts; at most CONTEXT_WORDS^2 sums reach the
     driver."""
     n, end = len(words), words.index(0)
 
@@ -132,9 +137,10 @@ def context_matrix(train: DataFrame, words: list[int]) -> np.ndarray:
         hasher, coder, total = WordHasher(), Coder(words, list(range(n))), np.zeros(n * n, np.int64)
         for batch in batches:
             for _, texts in _chunks(batch.column(0)):
-                codes = coder(hasher.sequence(texts)[0])
-                previous = last_known(codes, end)
-                here = codes >= 0
+                tokens, ends = hasher.sequence(texts)
+                codes = coder(tokens)
+                previous = neighbours(codes, ends, end)[0]
+                here = (codes >= 0) & (previous >= 0)
                 total += np.bincount(previous[here].astype(np.int64) * n + codes[here], minlength=n * n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
@@ -189,8 +195,8 @@ def exchange(matrix: np.ndarray, k: int, rounds: int) -> np.ndarray:
 
 
 def context_counts(train: DataFrame, words: list[int], cls: list[int]) -> DataFrame:
-    """(w, ctx, n): every token with the class of the last context word before it, over all training texts; sorted by w
-    within partitions by w."""
+    """(w, ctx, n): every token with the class of the word before it, and again with that of the word after it (plus SIDE), over
+    all training texts; sorted by w within partitions by w."""
     end_class = cls[words.index(0)]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,9 +212,11 @@ def context_counts(train: DataFrame, words: list[int], cls: list[int]) -> DataFr
 
         for batch in batches:
             for _, texts in _chunks(batch.column(0)):
-                tokens = hasher.sequence(texts)[0]
-                held.append((tokens, last_known(coder(tokens), end_class)))
-                size += len(tokens)
+                tokens, ends = hasher.sequence(texts)
+                codes = coder(tokens)
+                before, after = neighbours(np.where(codes < 0, np.int16(RARE), codes), ends, end_class)
+                held.append((np.tile(tokens, 2), np.concatenate([before, after + SIDE])))
+                size += 2 * len(tokens)
                 if size >= FLUSH_TOKENS:
                     yield flush()
                     held, size = [], 0
@@ -246,21 +254,32 @@ def _assign(w: np.ndarray, ctx: np.ndarray, n: np.ndarray, score: np.ndarray) ->
     return first, best
 
 
+def _information(c: np.ndarray) -> np.ndarray:
+    return np.log(c * c.sum() / (c.sum(axis=1, keepdims=True) * c.sum(axis=0, keepdims=True)))
+
+
 def _scores(counts: np.ndarray) -> np.ndarray:
-    """log of P(context, class) / (P(context) P(class)), smoothed: the exchange criterion of one occurrence."""
+    """log of P(context, class) / (P(context) P(class)), smoothed, for contexts of both sides: the exchange criterion of one
+    occurrence."""
     c = counts + 0.1
-    return np.log(c * c.sum() / (c.sum(axis=1, keepdims=True) * c.sum(axis=0, keepdims=True)))
+    return np.vstack([_information(c[:SIDE]), _information(c[SIDE:])])
+
+
+def likelihood(counts: np.ndarray) -> float:
+    """Average information of a token's class and the classes beside it: rises with the likelihood of the class bigrams."""
+    return float((counts * _scores(counts)).sum() / max(1.0, counts[:SIDE].sum()))
 
 
 def exchange_all(contexts: DataFrame, start: np.ndarray) -> np.ndarray:
     """Exchange rounds over the whole vocabulary: all words move at once to their best class given the last round's class
-    counts; each round's CLASSES^2 counts are summed over partitions."""
-    counts = start
-    for _ in range(EXCHANGE_ROUNDS):
+    counts, whose 2 * SIDE * CLASSES numbers are summed over partitions. Rounds end when the likelihood gains less than SETTLED
+    of itself; a round that loses is not kept."""
+    counts, reached = start, likelihood(start)
+    for round_no in range(MAX_ROUNDS):
         score = _scores(counts)
 
         def recount(batches: Iterator[pa.RecordBatch], score: np.ndarray = score) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(CLASSES * CLASSES)
+            total = np.zeros(2 * SIDE * CLASSES)
             for w, ctx, n in _by_word(batches):
                 first, best = _assign(w, ctx, n, score)
                 of_row = np.repeat(best, np.diff(np.append(first, len(w))))
@@ -269,21 +288,30 @@ def exchange_all(contexts: DataFrame, start: np.ndarray) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
 
         rows = contexts.mapInArrow(recount, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(CLASSES * CLASSES)
+        moved = np.zeros(2 * SIDE * CLASSES)
         for r in rows:
-            counts[r["cell"]] = r["n"]
-        counts = counts.reshape(CLASSES, CLASSES)
+            moved[r["cell"]] = r["n"]
+        moved = moved.reshape(2 * SIDE, CLASSES)
+        now = likelihood(moved)
+        # the first round brings in the words outside the context words, so it is no gain or loss to compare
+        if round_no and now <= reached:
+            break
+        settled = round_no and now - reached < SETTLED * abs(now)
+        counts, reached = moved, now
+        if settled:
+            break
     return counts
 
 
 def word_classes(contexts: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(w, c, cls) of every training word; each token has one context, so a word's contexts sum to its count."""
+    """(w, c, cls) of every training word; each token has one word before it, so those contexts sum to the word's count."""
     score = _scores(counts)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, ctx, n in _by_word(batches):
             first, best = _assign(w, ctx, n, score)
-            yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(np.add.reduceat(n, first)), pa.array(best.astype(np.int32))], ["w", "c", "cls"])
+            own = np.add.reduceat(np.where(ctx < SIDE, n, 0), first)
+            yield pa.RecordBatch.from_arrays([pa.array(w[first]), pa.array(own), pa.array(best.astype(np.int32))], ["w", "c", "cls"])
 
     return stored(contexts.mapInArrow(place, "w long, c long, cls int"), "word-classes")
 
@@ -291,10 +319,10 @@ def word_classes(contexts: DataFrame, counts: np.ndarray) -> DataFrame:
 def coded_documents(docs: DataFrame, model: DataFrame, n_blocks: int, n_tokens: int, vocabulary: int, class_log: list[float]) -> DataFrame:
     """Per row: n_tokens, n_known, base_score, emission (sum of log10 P(w | class) of known tokens) and its class sequence.
 
-    Documents are dealt into blocks of bounded size; each block asks for its distinct words once, the answers are joined
+    Documents are dealt into blocks of bounded size, rows that repeat by the split of the input they come from; each block asks for its distinct words once, the answers are joined
     on the word and brought back to the block, so the vocabulary is never held whole by anyone.
     """
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", F.octet_length("text"), F.spark_partition_id()), F.lit(n_blocks)).cast("int")).repartition(n_blocks, "block")
     floor = math.log10(n_tokens + vocabulary + 1)
     logs = np.array(class_log)
 
@@ -331,9 +359,8 @@ def coded_documents(docs: DataFrame, model: DataFrame, n_blocks: int, n_tokens:
         base = np.log10(c + 1) - floor
         emission = np.append(np.log10(np.maximum(c[:-1], 1)) - logs[cls[:-1]], 0.0)
         hasher, press, out = WordHasher(), zstandard.ZstdCompressor(level=1), []
-        texts = own.column("text").combine_chunks()
-        texts = texts.chunk(0) if isinstance(texts, pa.ChunkedArray) else texts
-        for _, part in _chunks(texts):
+        texts = (x for piece in own.column("text").chunks for x in _chunks(piece))
+        for _, part in texts:
             tokens, ends = hasher.sequence(part)
             at = np.searchsorted(words, tokens)
             miss = len(words)
@@ -372,7 +399,7 @@ def transitions(coded: DataFrame, end_class: int) -> np.ndarray:
 
 
 def class_scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from rows whose crc32 of
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row; learns from rows whose crc32 of
     the id leaves another remainder than HELD_OUT_REMAINDER.
 
     score: sum of log10 of (1 - e) P(class | previous class) P(word | class) for known tokens and e for others, where e is
@@ -398,7 +425,7 @@ def class_scores(docs: DataFrame) -> DataFrame:
         cls = exchange(context_matrix(train, words), CLASSES, DRIVER_ROUNDS)
         contexts = context_counts(train, words, cls.tolist())
         seeded = contexts.join(F.broadcast(spark.createDataFrame([(w, int(k)) for w, k in zip(words, cls)], "w long, cls int")), "w")
-        start = np.zeros((CLASSES, CLASSES))
+        start = np.zeros((2 * SIDE, CLASSES))
         for r in seeded.groupBy("ctx", "cls").agg(F.sum("n").alias("n")).collect():
             start[r["ctx"], r["cls"]] = r["n"]
         model = word_classes(contexts, exchange_all(contexts, start))
@@ -428,4 +455,5 @@ def class_scores(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     ready = coded.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "emission", "classes")
-    return ready.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = ready.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -98,6 +98,23 @@ def test_exchange_raises_likelihood_and_finds_two_languages():
     assert len(set(cls[:4])) == 1 and len(set(cls[4:])) == 1 and cls[0] != cls[4]
 
 
+def test_exchange_rounds_raise_the_likelihood_of_all_words(spark, documents):
+    from pyspark.sql import functions as F
+
+    train = documents.select(F.col("text").cast("binary").alias("text"))
+    counts = class_lm.word_counts(train)
+    words = [0, *[r["w"] for r in counts.filter("w != 0").orderBy(F.desc("c"), "w").limit(50).collect()]]
+    cls = [i % class_lm.CLASSES for i in range(len(words))]
+    contexts = class_lm.context_counts(train, words, cls)
+    sums = {r["w"]: r["n"] for r in contexts.filter(F.col("ctx") < class_lm.SIDE).groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    assert sums == {r["w"]: r["c"] for r in counts.collect()}
+    rng = np.random.default_rng(1)
+    start = rng.random((2 * class_lm.SIDE, class_lm.CLASSES)) + 1
+    one = class_lm.exchange_all(contexts, start)
+    assert one[: class_lm.SIDE].sum() == sum(sums.values()) and class_lm.likelihood(one) > class_lm.likelihood(start)
+    assert class_lm.likelihood(class_lm.exchange_all(contexts, one)) >= class_lm.likelihood(one) - 1e-9
+
+
 def test_scores_match_brute_force_and_beat_the_base_on_held_out_texts(spark, documents, texts, empty):
     got = {r["doc_id"]: r for r in class_lm.class_scores(documents).collect()}
     tokens = {d: [*WORD.findall((t or "").translate(LOWER)), None] for d, t in texts}
