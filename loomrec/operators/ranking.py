@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from loomrec.operators.recall import top_k
 
 
+#: Far below a millionth and off its decimal fractions: see ``steady``.
+NUDGE = 3.7e-10
+
+
+def steady(x: Column) -> Column:
+    """Six decimals, the same whatever the order of a sum: sums of short decimals often end in an exact half, which the last bits
+    of a double would send either way."""
+    return F.round(x + NUDGE, 6)
+
+
 def calibrated(score: Column, scale: float = 1.0, offset: float = 0.0, low: float | None = None, high: float | None = None) -> Column:
     out = score * scale + offset
     out = out if low is None else F.greatest(F.lit(low), out)
@@ -25,7 +35,7 @@ def coarse_rank(long: DataFrame, weights: dict[str, float], priors: dict[str, fl
     w, p = F.coalesce(table(weights)[F.col("source")], F.lit(1.0)), F.coalesce(table(priors)[F.col("source")], F.lit(0.0))
     part = w * calibrated(F.col("score"), scale, low=0.0, high=100.0) + p + rrf_weight / (rrf_k + F.col("rank"))
     rows = long.groupBy("user_id", "item_id").agg(F.sum(part).alias("s"), F.countDistinct("source").alias("n_sources"), F.array_join(F.sort_array(F.collect_set("source")), ",").alias("sources"))
-    scored = rows.withColumn("coarse", F.round(F.col("s") + (F.col("n_sources") - 1) * multi_boost, 6))
+    scored = rows.withColumn("coarse", steady(F.col("s") + (F.col("n_sources") - 1) * multi_boost))
     return scored.withColumn("coarse_rank", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("coarse").desc(), "item_id"))).drop("s")
 
 
@@ -63,7 +73,7 @@ def policy_delta() -> Column:
 def three_stage(coarse: DataFrame, pop: DataFrame, top_n: int, k: int, grid: float = 0.2) -> DataFrame:
     """Coarse cut, fine score (fusion and a min-max feature), policy rerank, final order, and movements between stages."""
     cut = coarse.filter(F.col("coarse_rank") <= top_n).join(pop.select("item_id", "decay_pop"), "item_id", "left").na.fill(0.0, ["decay_pop"])
-    fine = min_max(cut, "decay_pop", "feature").withColumn("fine", F.round(F.col("coarse") + fusion_delta() + grid * F.col("feature"), 6))
+    fine = min_max(cut, "decay_pop", "feature").withColumn("fine", steady(F.col("coarse") + fusion_delta() + grid * F.col("feature")))
     per_user = lambda c: W.partitionBy("user_id").orderBy(F.col(c).desc(), "item_id")
     fine = fine.withColumn("fine_rank", F.row_number().over(per_user("fine"))).withColumn("final", F.round(F.col("fine") + policy_delta(), 6))
     out = fine.withColumn("final_rank", F.row_number().over(per_user("final"))).filter(F.col("final_rank") <= k)
@@ -126,7 +136,7 @@ def neighbour_rerank(ranked: DataFrame, feedback: DataFrame, edges: DataFrame, b
     f = feedback.select("user_id", F.col("item_id").alias("src"), "sign").join(edges.select("src", F.col("dst").alias("item_id"), F.col("score").alias("sim")), "src")
     best = f.groupBy("user_id", "item_id").agg(F.max(F.when(F.col("sign") > 0, F.col("sim"))).alias("up"), F.max(F.when(F.col("sign") < 0, F.col("sim"))).alias("down"))
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    j = ranked.join(best, ["user_id", "item_id"], "left").withColumn("adjusted", F.round(F.col("final") + boost * (z("up") - z("down")), 6))
+    j = ranked.join(best, ["user_id", "item_id"], "left").withColumn("adjusted", steady(F.col("final") + boost * (z("up") - z("down"))))
     return j.withColumn("slot", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("adjusted").desc(), "item_id"))).select("user_id", "item_id", "final", "adjusted", "slot")
 
 
@@ -137,7 +147,7 @@ def preference_rerank(ranked: DataFrame, items: DataFrame, liked: DataFrame, hal
     cat = p.groupBy("user_id", "category").agg(F.sum("w").alias("cw"))
     j = ranked.join(items.select("item_id", "brand", "category"), "item_id").join(brand, ["user_id", "brand"], "left").join(cat, ["user_id", "category"], "left")
     raw = 0.1 * F.coalesce("bw", F.lit(0.0)) + 0.05 * F.coalesce("cw", F.lit(0.0))
-    j = j.withColumn("preference", F.round(F.greatest(F.lit(-limit), F.least(F.lit(limit), raw)), 6)).withColumn("adjusted", F.round(F.col("final") + F.col("preference"), 6))
+    j = j.withColumn("preference", steady(F.greatest(F.lit(-limit), F.least(F.lit(limit), raw)))).withColumn("adjusted", steady(F.col("final") + F.col("preference")))
     return j.withColumn("slot", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("adjusted").desc(), "item_id"))).select("user_id", "item_id", "preference", "adjusted", "slot")
 
 
@@ -214,7 +224,7 @@ def blended(trained: DataFrame, semantic: DataFrame, weight: float = 0.3) -> Dat
     """weight * trained + (1 - weight) * semantic over items that either has; a missing score counts 0."""
     a = trained.select("user_id", "item_id", F.col("score").alias("t"))
     j = a.join(semantic.select("user_id", "item_id", F.col("score").alias("s")), ["user_id", "item_id"], "full").na.fill(0.0, ["t", "s"])
-    return j.select("user_id", "item_id", F.round(weight * F.col("t") + (1 - weight) * F.col("s"), 6).alias("score"))
+    return j.select("user_id", "item_id", steady(weight * F.col("t") + (1 - weight) * F.col("s")).alias("score"))
 
 
 def deep_fm(df: DataFrame, features: list[str], linear: list[float], factors: list[list[float]], hidden: list[list[float]], out: list[float], bias: float = 0.0) -> DataFrame:
@@ -228,7 +238,7 @@ def deep_fm(df: DataFrame, features: list[str], linear: list[float], factors: li
         second = term if second is None else second + term
     layer = [F.greatest(F.lit(0.0), dot(h)) for h in hidden]
     deep = sum((w * h for w, h in zip(out[1:], layer[1:])), out[0] * layer[0])
-    return df.withColumn("score", F.round(bias + dot(linear) + second + deep, 6))
+    return df.withColumn("score", steady(bias + dot(linear) + second + deep))
 
 
 def logistic_weights(df: DataFrame, features: list[str], label: str) -> dict[str, float]:

@@ -92,7 +92,7 @@ def metadata_pseudo_edges(items: DataFrame, pop: DataFrame, per_key: int = 6) ->
     return a.join(b, ["category", "brand"]).filter("src != dst").select("src", "dst", F.round(F.log1p("pop") / 10, 6).alias("score"))
 
 
-def swing(events: DataFrame, alpha: float = 1.0, max_users: int = 60, standard: bool = True) -> DataFrame:
+def swing(events: DataFrame, alpha: float = 1.0, max_users: int = 500, standard: bool = True) -> DataFrame:
     """Item similarity over common users. Standard: sum over user pairs of w_u w_v / (alpha + overlap), w = 1 / sqrt(items);
     else co-count / (alpha + sum of 1 / items). Hot items are left out first, which bounds the user pairs of an item."""
     e = drop_hot(events.select("user_id", "item_id").distinct(), max_users)
@@ -116,7 +116,7 @@ def iuf(events: DataFrame) -> DataFrame:
     return item_users(events).select("item_id", F.greatest(F.log((n + 1.0) / (F.col("n_users") + 1)), F.lit(1e-6)).alias("iuf"))
 
 
-def user_similarity(events: DataFrame, k: int, weighted: bool = False, max_users: int | None = 200) -> DataFrame:
+def user_similarity(events: DataFrame, k: int, weighted: bool = False, max_users: int | None = 5000) -> DataFrame:
     """(user_id, other, sim): the k users with the largest overlap (or IUF-weighted overlap), scored by cosine."""
     e = drop_hot(events.select("user_id", "item_id").distinct(), max_users)
     e = e.join(iuf(e), "item_id") if weighted else e.withColumn("iuf", F.lit(1.0))
@@ -151,7 +151,7 @@ def recursive_cf(events: DataFrame, neighbours: int = 8, decay: float = 0.5, k:
     return top_k(total, ["user_id"], [F.col("score").desc(), F.col("item_id")], k)
 
 
-def pearson_prediction(train: DataFrame, targets: DataFrame, neighbours: int = 20, min_common: int = 2, max_users: int = 200) -> DataFrame:
+def pearson_prediction(train: DataFrame, targets: DataFrame, neighbours: int = 20, min_common: int = 2, max_users: int = 500) -> DataFrame:
     """Mean-centred k-nearest-neighbour rating of (user_id, item_id, rating) targets; no neighbour: the user's mean."""
     means = train.groupBy("user_id").agg(F.avg("rating").alias("mean"))
     c = train.join(means, "user_id").select("user_id", "item_id", (F.col("rating") - F.col("mean")).alias("dev"))

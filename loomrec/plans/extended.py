@@ -175,13 +175,13 @@ def movement_guard(s, d):
     return R.movement_guard(Q._ranked(s, d), 2, 10)
 
 
-@query("model_semantic_blend", f"$BASE, {PARTS} SELECT user_id, item_id, round(0.3 * coalesce(a.score, 0) + 0.7 * coalesce(b.score, 0), 6) score FROM (SELECT * FROM parts WHERE source = 'itemcf') a FULL JOIN (SELECT * FROM parts WHERE source = 'category') b USING (user_id, item_id)")
+@query("model_semantic_blend", f"$BASE, {PARTS} SELECT user_id, item_id, round(0.3 * coalesce(max(score) FILTER (source = 'itemcf'), 0) + 0.7 * coalesce(max(score) FILTER (source = 'category'), 0) + 3.7e-10, 6) score FROM parts WHERE source <> 'popular' GROUP BY ALL")
 def model_semantic_blend(s, d):
     p = Q._parts(s, d)
     return R.blended(p["itemcf"], p["category"])
 
 
-@query("deep_fm_scores", f"$BASE, {PARTS}, x AS (SELECT user_id, item_id, coarse a, CAST(n_sources AS DOUBLE) b, 1.0 / coarse_rank c FROM coarse WHERE coarse_rank <= 20) SELECT user_id, item_id, round(0.1 + (0.5 * a + 0.2 * b + 0.3 * c) + (a * b * (0.1 * 0.2 + 0.3 * -0.1) + a * c * (0.1 * 0.4 + 0.3 * 0.2) + b * c * (0.2 * 0.4 + -0.1 * 0.2)) + (0.6 * greatest(0.0, 0.5 * a - 0.4 * b + 0.1 * c) - 0.2 * greatest(0.0, -0.3 * a + 0.2 * b + 0.5 * c)), 6) score FROM x")
+@query("deep_fm_scores", f"$BASE, {PARTS}, x AS (SELECT user_id, item_id, coarse a, CAST(n_sources AS DOUBLE) b, 1.0 / coarse_rank c FROM coarse WHERE coarse_rank <= 20) SELECT user_id, item_id, round(0.1 + (0.5 * a + 0.2 * b + 0.3 * c) + (a * b * (0.1 * 0.2 + 0.3 * -0.1) + a * c * (0.1 * 0.4 + 0.3 * 0.2) + b * c * (0.2 * 0.4 + -0.1 * 0.2)) + (0.6 * greatest(0.0, 0.5 * a - 0.4 * b + 0.1 * c) - 0.2 * greatest(0.0, -0.3 * a + 0.2 * b + 0.5 * c)) + 3.7e-10, 6) score FROM x")
 def deep_fm_scores(s, d):
     x = Q._coarse(s, d).filter("coarse_rank <= 20").select("user_id", "item_id", F.col("coarse").alias("a"), F.col("n_sources").cast("double").alias("b"), (1.0 / F.col("coarse_rank")).alias("c"))
     out = R.deep_fm(x, ["a", "b", "c"], [0.5, 0.2, 0.3], [[0.1, 0.3], [0.2, -0.1], [0.4, 0.2]], [[0.5, -0.4, 0.1], [-0.3, 0.2, 0.5]], [0.6, -0.2], 0.1)

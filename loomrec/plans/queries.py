@@ -35,7 +35,7 @@ items AS (SELECT p_partkey item_id, p_name title, p_brand brand, p_type category
 pop AS (SELECT item_id, count(*) pop, count(*) FILTER (verified) verified_pop, count(*) FILTER (ts >= CAST(trunc(hi - greatest(1, hi - lo) * 0.2) AS BIGINT)) recent_pop,
   round(sum(0.5 + (ts - lo) / greatest(1, hi - lo)), 6) decay_pop FROM pos, (SELECT min(ts) lo, max(ts) hi FROM pos) GROUP BY item_id),
 back AS (SELECT user_id, item_id, row_num, label_strong strong, row_number() OVER (PARTITION BY user_id ORDER BY row_num DESC) b FROM pos),
-seq AS (SELECT user_id, item_id, row_num, c - b + 1 pos, c len, strong FROM (SELECT *, count(*) OVER (PARTITION BY user_id) c FROM back WHERE b <= 12)),
+seq AS (SELECT user_id, item_id, row_num, c - b + 1 pos, c len, strong FROM (SELECT *, count(*) OVER (PARTITION BY user_id) c FROM back WHERE b <= 50)),
 fb AS (SELECT event_id, ts, user_id profile_id, CASE event_type WHEN 'view' THEN 'EXPOSURE' WHEN 'click' THEN 'CLICK' WHEN 'purchase' THEN 'LIKE' WHEN 'error' THEN 'DISLIKE' ELSE 'WHY' END kind,
   CAST(props->>'$.k' AS BIGINT) item_id, value FROM events)
 """
@@ -231,7 +231,7 @@ def augmented_blend(s, d):
     return B.blended_edges(B.observed_pairs(S.recent_positives(s, d)), B.metadata_pseudo_edges(S.items(s, d), _pop(s, d)), 10, 0.3, 3, hot)
 
 
-SW = "hot AS (SELECT item_id FROM seq GROUP BY 1 HAVING count(DISTINCT user_id) > 60), e AS (SELECT DISTINCT user_id, item_id FROM seq WHERE item_id NOT IN (SELECT item_id FROM hot)), w AS (SELECT *, count(*) OVER (PARTITION BY user_id) n FROM e)"
+SW = "hot AS (SELECT item_id FROM seq GROUP BY 1 HAVING count(DISTINCT user_id) > 500), e AS (SELECT DISTINCT user_id, item_id FROM seq WHERE item_id NOT IN (SELECT item_id FROM hot)), w AS (SELECT *, count(*) OVER (PARTITION BY user_id) n FROM e)"
 
 
 @query("swing_standard", f"""$BASE, {SW}, uv AS (SELECT a.user_id u, b.user_id v, a.n nu, b.n nv, count(*) o FROM w a JOIN w b USING (item_id) WHERE a.user_id < b.user_id GROUP BY ALL HAVING count(*) >= 2)
@@ -245,7 +245,7 @@ def swing_approximate(s, d):
     return B.swing(S.recent_positives(s, d), standard=False)
 
 
-SIM = """se AS (SELECT DISTINCT user_id, item_id FROM seq WHERE item_id IN (SELECT item_id FROM seq GROUP BY 1 HAVING count(DISTINCT user_id) <= 200)), nn AS (SELECT user_id, count(*) n FROM se GROUP BY 1),
+SIM = """se AS (SELECT DISTINCT user_id, item_id FROM seq WHERE item_id IN (SELECT item_id FROM seq GROUP BY 1 HAVING count(DISTINCT user_id) <= 5000)), nn AS (SELECT user_id, count(*) n FROM se GROUP BY 1),
 ov AS (SELECT a.user_id, b.user_id other, count(*) overlap FROM se a JOIN se b USING (item_id) WHERE a.user_id <> b.user_id GROUP BY ALL),
 sim AS (SELECT o.*, round(overlap / sqrt(a.n * b.n), 6) sim FROM (SELECT * FROM ov QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY overlap DESC, other) <= {n}) o JOIN nn a USING (user_id) JOIN nn b ON b.user_id = other)"""
 
@@ -418,10 +418,10 @@ ph AS (SELECT item_id, pop FROM pop ORDER BY pop DESC, item_id LIMIT 40), poprec
 parts AS (SELECT user_id, item_id, score, rank, 'itemcf' source, 0 src_no FROM cfrec UNION ALL SELECT user_id, item_id, score / 100, rank, 'category', 1 FROM catrec UNION ALL SELECT user_id, item_id, pop / 200.0, rank, 'popular', 2 FROM poprec),
 merged AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(sum(score), 6) score, string_agg(source, ',' ORDER BY src_no) sources, count(*) n_sources FROM parts GROUP BY ALL)),
 coarse AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coarse DESC, item_id) coarse_rank FROM (SELECT user_id, item_id, count(*) n_sources, string_agg(source, ',' ORDER BY source) sources,
-  round(sum(CASE source WHEN 'itemcf' THEN 1.5 WHEN 'popular' THEN 0.5 ELSE 1 END * least(100, greatest(0, score)) + CASE source WHEN 'itemcf' THEN 0.1 ELSE 0 END + 1 / (60.0 + rank)) + (count(*) - 1) * 0.05, 6) coarse FROM parts GROUP BY ALL)),
+  round(sum(CASE source WHEN 'itemcf' THEN 1.5 WHEN 'popular' THEN 0.5 ELSE 1 END * least(100, greatest(0, score)) + CASE source WHEN 'itemcf' THEN 0.1 ELSE 0 END + 1 / (60.0 + rank)) + (count(*) - 1) * 0.05 + 3.7e-10, 6) coarse FROM parts GROUP BY ALL)),
 cut AS (SELECT c.*, coalesce(decay_pop, 0) dp FROM coarse c LEFT JOIN pop USING (item_id) WHERE coarse_rank <= 40),
 fine0 AS (SELECT *, CASE WHEN max(dp) OVER w > min(dp) OVER w THEN round((dp - min(dp) OVER w) / (max(dp) OVER w - min(dp) OVER w), 6) ELSE 0 END feature FROM cut WINDOW w AS (PARTITION BY user_id)),
-fine1 AS (SELECT *, round(coarse + round(CASE WHEN contains(sources, 'itemcf') THEN 0.1 + CASE WHEN n_sources >= 2 THEN 0.05 ELSE 0 END ELSE 0 END - CASE WHEN sources = 'popular' THEN 0.1 ELSE 0 END, 6) + 0.2 * feature, 6) fine FROM fine0),
+fine1 AS (SELECT *, round(coarse + round(CASE WHEN contains(sources, 'itemcf') THEN 0.1 + CASE WHEN n_sources >= 2 THEN 0.05 ELSE 0 END ELSE 0 END - CASE WHEN sources = 'popular' THEN 0.1 ELSE 0 END, 6) + 0.2 * feature + 3.7e-10, 6) fine FROM fine0),
 fine2 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY fine DESC, item_id) fine_rank, round(fine + round(CASE WHEN n_sources >= 2 THEN 0.03 ELSE 0 END - CASE WHEN sources = 'popular' THEN 0.04 ELSE 0 END, 6), 6) final FROM fine1),
 ranked AS (SELECT user_id, item_id, sources, coarse, fine, final, coarse_rank, fine_rank, final_rank, coarse_rank - final_rank movement FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY final DESC, item_id) final_rank FROM fine2) WHERE final_rank <= 20)"""
 
@@ -520,17 +520,17 @@ def constraint_filter(s, d):
     return R.constraint_filter(_ranked(s, d), S.items(s, d), _feedback(s, d).filter("sign < 0"), 1400.0, 5)
 
 
-@query("feedback_neighbour_rerank", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)) SELECT user_id, item_id, final, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT r.user_id, r.item_id, final, round(final + 0.3 * (coalesce(up, 0) - coalesce(down, 0)), 6) adjusted FROM ranked r LEFT JOIN (SELECT f.user_id, dst item_id, max(score) FILTER (sign > 0) up, max(score) FILTER (sign < 0) down FROM fbk f JOIN cf ON src = f.item_id GROUP BY ALL) b USING (user_id, item_id))""")
+@query("feedback_neighbour_rerank", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)) SELECT user_id, item_id, final, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT r.user_id, r.item_id, final, round(final + 0.3 * (coalesce(up, 0) - coalesce(down, 0)) + 3.7e-10, 6) adjusted FROM ranked r LEFT JOIN (SELECT f.user_id, dst item_id, max(score) FILTER (sign > 0) up, max(score) FILTER (sign < 0) down FROM fbk f JOIN cf ON src = f.item_id GROUP BY ALL) b USING (user_id, item_id))""")
 def feedback_neighbour_rerank(s, d):
     return R.neighbour_rerank(_ranked(s, d), _feedback(s, d), _cf(s, d))
 
 
-@query("preference_rerank", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)), lk AS (SELECT user_id, brand, category, sign * pow(0.5, age / 30) w FROM fbk JOIN items USING (item_id)), pref AS (SELECT user_id, item_id, preference, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT *, round(final + preference, 6) adjusted FROM (SELECT r.user_id, r.item_id, final, round(greatest(-0.25, least(0.25, 0.1 * coalesce(bw, 0) + 0.05 * coalesce(cw, 0))), 6) preference FROM ranked r JOIN items i USING (item_id) LEFT JOIN (SELECT user_id, brand, sum(w) bw FROM lk GROUP BY ALL) b ON b.user_id = r.user_id AND b.brand = i.brand LEFT JOIN (SELECT user_id, category, sum(w) cw FROM lk GROUP BY ALL) c ON c.user_id = r.user_id AND c.category = i.category))) SELECT * FROM pref""")
+@query("preference_rerank", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)), lk AS (SELECT user_id, brand, category, sign * pow(0.5, age / 30) w FROM fbk JOIN items USING (item_id)), pref AS (SELECT user_id, item_id, preference, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT *, round(final + preference + 3.7e-10, 6) adjusted FROM (SELECT r.user_id, r.item_id, final, round(greatest(-0.25, least(0.25, 0.1 * coalesce(bw, 0) + 0.05 * coalesce(cw, 0))) + 3.7e-10, 6) preference FROM ranked r JOIN items i USING (item_id) LEFT JOIN (SELECT user_id, brand, sum(w) bw FROM lk GROUP BY ALL) b ON b.user_id = r.user_id AND b.brand = i.brand LEFT JOIN (SELECT user_id, category, sum(w) cw FROM lk GROUP BY ALL) c ON c.user_id = r.user_id AND c.category = i.category))) SELECT * FROM pref""")
 def preference_rerank(s, d):
     return R.preference_rerank(_ranked(s, d), S.items(s, d), _feedback(s, d))
 
 
-@query("exploration_reserve", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)), lk AS (SELECT user_id, brand, category, sign * pow(0.5, age / 30) w FROM fbk JOIN items USING (item_id)), pref AS (SELECT user_id, item_id, preference, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT *, round(final + preference, 6) adjusted FROM (SELECT r.user_id, r.item_id, final, round(greatest(-0.25, least(0.25, 0.1 * coalesce(bw, 0) + 0.05 * coalesce(cw, 0))), 6) preference FROM ranked r JOIN items i USING (item_id) LEFT JOIN (SELECT user_id, brand, sum(w) bw FROM lk GROUP BY ALL) b ON b.user_id = r.user_id AND b.brand = i.brand LEFT JOIN (SELECT user_id, category, sum(w) cw FROM lk GROUP BY ALL) c ON c.user_id = r.user_id AND c.category = i.category))) SELECT user_id, item_id, new, row_number() OVER (PARTITION BY user_id ORDER BY slot) place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN new = 1 AND r <= 2 THEN 0 ELSE 1 END, slot) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY user_id, new ORDER BY slot) r FROM (SELECT *, CAST(preference <= 0 AS INT) new FROM pref))) WHERE pick <= 10""")
+@query("exploration_reserve", f"""$BASE, {PARTS}, fbk AS (SELECT h.user_id, h.item_id, CASE WHEN i.verified THEN 1 ELSE -1 END sign, 10.0 age FROM held h JOIN (SELECT user_id, item_id, verified FROM inter WHERE split = 'valid') i USING (user_id, item_id)), lk AS (SELECT user_id, brand, category, sign * pow(0.5, age / 30) w FROM fbk JOIN items USING (item_id)), pref AS (SELECT user_id, item_id, preference, adjusted, row_number() OVER (PARTITION BY user_id ORDER BY adjusted DESC, item_id) slot FROM (SELECT *, round(final + preference + 3.7e-10, 6) adjusted FROM (SELECT r.user_id, r.item_id, final, round(greatest(-0.25, least(0.25, 0.1 * coalesce(bw, 0) + 0.05 * coalesce(cw, 0))) + 3.7e-10, 6) preference FROM ranked r JOIN items i USING (item_id) LEFT JOIN (SELECT user_id, brand, sum(w) bw FROM lk GROUP BY ALL) b ON b.user_id = r.user_id AND b.brand = i.brand LEFT JOIN (SELECT user_id, category, sum(w) cw FROM lk GROUP BY ALL) c ON c.user_id = r.user_id AND c.category = i.category))) SELECT user_id, item_id, new, row_number() OVER (PARTITION BY user_id ORDER BY slot) place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN new = 1 AND r <= 2 THEN 0 ELSE 1 END, slot) AS pick FROM (SELECT *, row_number() OVER (PARTITION BY user_id, new ORDER BY slot) r FROM (SELECT *, CAST(preference <= 0 AS INT) new FROM pref))) WHERE pick <= 10""")
 def exploration_reserve(s, d):
     return R.exploration_reserve(preference_rerank(s, d), 10)
 

@@ -32,7 +32,7 @@ def train_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions(spark, sf_dir).filter("split = 'train' and label_binary = 1")
 
 
-def recent_positives(spark: SparkSession, sf_dir: str, last: int = 12) -> DataFrame:
+def recent_positives(spark: SparkSession, sf_dir: str, last: int = 50) -> DataFrame:
     """(user_id, item_id, row_num, pos, len, strong): each user's last positives, pos from 1 in time order."""
     return cleaning.recent_events(train_positives(spark, sf_dir), last)
 

@@ -23,9 +23,9 @@ def normal(v):
     if isinstance(v, bool):
         return str(v)
     if isinstance(v, float) or type(v).__name__ == "Decimal":
-        return "nan" if math.isnan(v) else f"{float(v):.4f}".replace("-0.0000", "0.0000")
+        return "nan" if math.isnan(v) else f"{float(v):.6f}".replace("-0.000000", "0.000000")
     if isinstance(v, int):
-        return f"{v:.4f}"
+        return f"{v:.6f}"
     return str(v)
 
 
