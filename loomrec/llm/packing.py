@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomrec.llm.common import small_batches, stored
-from loomrec.llm.tokens import encoder, text_chunks
+from loomrec.llm.tokens import encoder, forget_encoders, text_chunks
 
 CAPACITY = 4096
 END_ID = 1
@@ -49,9 +49,9 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets
 
 
-def token_pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = END_ID, capacity: int = CAPACITY, remember: bool = True) -> DataFrame:
     """(doc_id, row, piece, start, length, crc) of each document's pieces: its ids with the end id, cut only if longer than
-    ``capacity``. row tells rows with one doc_id apart."""
+    ``capacity``. row tells rows with one doc_id apart. ``remember``: workers keep their memory of pieces for the next task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, kind)
@@ -68,6 +68,9 @@ def token_pieces(docs: DataFrame, path: str, kind: str = "word", end_id: int = E
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 arrays = [pa.array(x, t) for x, t in zip(zip(*out), types)]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "piece", "start", "length", "crc"])
+        if not remember:
+            del enc
+            forget_encoders()
 
     small_batches(docs.sparkSession)
     numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
@@ -148,9 +151,7 @@ def hierarchical_pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return m.select("m.doc_id", "m.piece", "m.row", "m.start", "m.length", F.col("m.crc").alias("ids_crc32"), "sequence_id", "m.offset")
 
 
-def pack_documents(docs: DataFrame, path: str) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, remember: bool = True) -> DataFrame:
     """The documents contract: every piece of every document with its place. A null text is empty: one piece, the end id."""
-    pieces = stored(token_pieces(docs, path), "pieces")
+    pieces = stored(token_pieces(docs, path, remember=remember), "pieces")
     return hierarchical_pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
-
-

@@ -158,6 +158,11 @@ def encoder(path: str, kind: str) -> PieceEncoder:
     return _encoders[path, kind]
 
 
+def forget_encoders() -> None:
+    """Frees the worker's memory of pieces: workers live on between stages, and what follows may need the room."""
+    _encoders.clear()
+
+
 def text_chunks(batch: pa.RecordBatch, column: str = "text"):
     """(row numbers as a slice, texts) of a batch, nulls as empty texts, about CHUNK_CHARS characters at a time."""
     texts, chunk, size, start = batch.column(batch.schema.get_field_index(column)), [], 0, 0
