@@ -40,8 +40,9 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces of all remaining documents in sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    """Places of all pieces of all remaining documents in sequences of at most 4096 tokens. Workers drop their memory of pieces
+    after each task, as other stages share the executors."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), remember=False)
 
 
 STAGES = [
