@@ -34,7 +34,8 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], version: str) ->
 
 
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None, max_rows: int | None = None) -> int:
-    """Writes beside ``path``, checks the size, then renames into place: readers see the old table or the new one."""
+    """Writes beside ``path``, checks the size, moves the old table aside, renames the new one into place and deletes the old
+    one last. Between the two renames readers find no table; if the second fails, the old one is put back."""
     spark = df.sparkSession
     staging = f"{path}.staging"
     writer = df.write.mode("overwrite")
@@ -46,9 +47,16 @@ def publish(df: DataFrame, path: str, partition_by: list[str] | None = None, max
     if max_rows is not None and rows > max_rows:
         fs.delete(source, True)
         raise ValueError(f"{rows} rows exceed the cap of {max_rows}")
-    fs.delete(target, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.replaced")
+    fs.delete(aside, True)
+    had = fs.exists(target)
+    if had and not fs.rename(target, aside):
+        raise OSError(f"cannot move {path} aside")
     if not fs.rename(source, target):
+        if had:
+            fs.rename(aside, target)
         raise OSError(f"cannot publish {path}")
+    fs.delete(aside, True)
     return rows
 
 
