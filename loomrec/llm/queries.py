@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import class_lm, decontaminate, encoding, packing, pages, pii, quality, sharding, simhash, toxicity
+from loomrec.llm import class_lm, decontaminate, encoding, packing, pages, pii, quality, sharding, simhash, toxicity, yinyang
 from loomrec.llm.common import read_table
 
 
@@ -54,6 +54,10 @@ def op5_nearest_url_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(read_table(spark, sf_dir, "pages"))
 
 
+def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster_digest(read_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,8 +75,29 @@ QUERIES = {
     "op8_deletion_variant_simhash": op8_deletion_variant_simhash,
     "op9_minhash_decontamination": op9_minhash_decontamination,
     "op10_pii_checksums": op10_pii_checksums,
+    "op11_yinyang_clusters": op11_yinyang_clusters,
     "pipeline": pipeline,
 }
+
+
+def kmeans_sql(k: int = 8, rounds: int = 10, seed: int = 3, dims: int = 64) -> str:
+    """Plain rounds of exact integer k-means, one pair of common tables a round."""
+    parts = [
+        f"""q AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings
+WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS c, v m FROM q ORDER BY sha256('{seed}:' || vec_id), v LIMIT {k})",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(d := d, c := c)) b FROM (
+SELECT vec_id, v, c, list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT d FROM q, c{r}) GROUP BY vec_id, v)""")
+        if r < rounds:
+            parts.append(f"""s{r} AS (SELECT c, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) m FROM (SELECT b.c c, i, sum(v[i])::DOUBLE s, count(*) n FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY ALL) GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(s{r}.m, c{r}.m) m FROM c{r} LEFT JOIN s{r} USING (c))""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, b.c::INTEGER AS cluster, b.d AS distance, (sum(b.d) OVER (PARTITION BY b.c))::BIGINT cluster_inertia, (sum(b.d) OVER ())::BIGINT inertia, sha256(array_to_string(m, ',')) centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON b.c = c"""
+
+
 WORDS_SQL = "list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\x09-\\x0D]+'), lambda x: x <> '')"
 #: Operators whose whole result SQL can express; items here have five words or more.
 ORACLE_SQL: dict[str, str] = {
@@ -83,4 +108,5 @@ bs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 4], ' ') s FROM (SELECT
 q AS (SELECT item_id, count(*) n_item FROM bs GROUP BY 1)
 SELECT doc_id, item_id, n_item, count(*) n_shared, count(*) / n_item containment FROM ds JOIN bs USING (s) JOIN q USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) * 5 >= n_item * 4""",
+    "op11_yinyang_clusters": kmeans_sql(),
 }
