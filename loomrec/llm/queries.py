@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import class_lm, decontaminate, encoding, packing, pages, pii, quality, sharding, simhash, toxicity, yinyang
+from loomrec.llm import class_lm, decontaminate, encoding, imatch, packing, pages, pii, quality, sharding, simhash, toxicity, yinyang
 from loomrec.llm.common import read_table
 
 
@@ -58,6 +58,10 @@ def op11_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.cluster_digest(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -76,6 +80,7 @@ QUERIES = {
     "op9_minhash_decontamination": op9_minhash_decontamination,
     "op10_pii_checksums": op10_pii_checksums,
     "op11_yinyang_clusters": op11_yinyang_clusters,
+    "op12_imatch_fingerprints": op12_imatch_fingerprints,
     "pipeline": pipeline,
 }
 
