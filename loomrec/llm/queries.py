@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomrec.llm import class_lm, decontaminate, encoding, imatch, packing, pages, pii, quality, sharding, simhash, toxicity, yinyang
+from loomrec.llm import class_lm, decontaminate, encoding, imatch, packing, pages, periodic, pii, quality, sharding, simhash, toxicity, yinyang
 from loomrec.llm.common import read_table
 
 
@@ -62,6 +62,10 @@ def op12_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_digest(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op10_pii_checksums": op10_pii_checksums,
     "op11_yinyang_clusters": op11_yinyang_clusters,
     "op12_imatch_fingerprints": op12_imatch_fingerprints,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": pipeline,
 }
 
