@@ -71,14 +71,15 @@ def popular_fallback(users: DataFrame, pop: DataFrame, seen: DataFrame, n: int,
 
 
 def merge_sources(parts: dict[str, DataFrame]) -> DataFrame:
-    """One row per user and item: the best score of each source, sources in the order given, ranked by the summed score."""
+    """One row per user and item: the best score of each source, sources in the order given, ranked by the sum of the scores in
+    millionths: whole numbers, so that their order doesn't matter."""
     long = None
     for i, (name, df) in enumerate(parts.items()):
         p = df.select("user_id", "item_id", F.col("score").cast("double").alias("score"), F.lit(name).alias("source"), F.lit(i).alias("src_no"))
         long = p if long is None else long.unionByName(p)
     best = long.groupBy("user_id", "item_id", "source", "src_no").agg(F.max("score").alias("score"))
     merged = best.groupBy("user_id", "item_id").agg(
-        F.round(F.sum("score"), 6).alias("score"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("src_no", "source"))), lambda x: x["source"]), ",").alias("sources"), F.count("*").alias("n_sources"))
+        (F.sum(F.floor(F.col("score") * 1e6 + 0.5)) / 1e6).alias("score"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("src_no", "source"))), lambda x: x["source"]), ",").alias("sources"), F.count("*").alias("n_sources"))
     return merged.withColumn("rank", F.row_number().over(W.partitionBy("user_id").orderBy(F.col("score").desc(), "item_id")))
 
 

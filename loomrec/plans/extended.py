@@ -233,13 +233,14 @@ def session_scorecard(s, d):
     return E.session_scorecard(S.table(s, d, "conversations"))
 
 
-@query("small_to_big")
+@query("small_to_big", f"{Q.BM25} SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, parent) AS rank FROM (SELECT query, doc % 20 parent, max(score) score, count(*) n_children FROM ({Q.BM25_TOP.format(k=30)}) GROUP BY ALL) QUALIFY rank <= 5")
 def small_to_big(s, d):
     posts, q, n, a = Q._posts(s, d)
     return M.small_to_big(T.bm25(posts, q, 30, n, a).select("query", (F.col("doc") % 20).alias("parent"), "score"), 5)
 
 
-@query("evidence_context_limit")
+@query("evidence_context_limit", f"""{Q.BM25}, ev AS (SELECT query, doc, rank, coalesce(length(text), 0) length FROM ({Q.BM25_TOP.format(k=10)}) JOIN documents ON doc_id = doc)
+SELECT query, doc, rank, least(length, 2000 - before) used FROM (SELECT *, sum(length) OVER (PARTITION BY query ORDER BY rank) - length before FROM ev) WHERE before < 2000""")
 def evidence_context_limit(s, d):
     posts, q, n, a = Q._posts(s, d)
     sized = T.bm25(posts, q, 10, n, a).join(S.table(s, d, "documents").select(F.col("doc_id").alias("doc"), F.coalesce(F.length("text"), F.lit(0)).alias("length")), "doc")

@@ -364,17 +364,26 @@ def itemcf_recall(s, d):
     return _cf_recall(s, d)
 
 
+def _from_edges(edges: str, weight: str, how: str, floor: float) -> str:
+    return f"""linked AS ({edges}), rec AS (SELECT user_id, item_id, score, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) rank FROM (SELECT s.user_id, dst item_id, round({how}({weight} * e.score), 6) score FROM seeds s JOIN linked e ON e.src = s.item_id
+WHERE e.rank <= 10 AND NOT EXISTS (SELECT 1 FROM seq x WHERE x.user_id = s.user_id AND x.item_id = dst) GROUP BY ALL) WHERE score > {floor} QUALIFY rank <= 30)"""
+
+
+CO_VISIT_REC = _from_edges(ORACLE_SQL["co_visit_transitions"], "1 / sqrt(seed_rank * 1.0)", "max", 0)
+GRAPH_REC = _from_edges(ORACLE_SQL["item_graph"], "1", "sum", 0.05)
+
+
 def _graph_recall(s, d):
     seq = S.recent_positives(s, d)
     return C.recall_from_edges(C.seeds(seq), B.co_visit(seq), seq, 1 / F.sqrt(F.col("seed_rank") * 1.0), 10, 30)
 
 
-@query("co_visit_recall")
+@query("co_visit_recall", f"$BASE, {SEEDS}, {CO_VISIT_REC} SELECT * FROM rec")
 def co_visit_recall(s, d):
     return _graph_recall(s, d)
 
 
-@query("graph_recall_summed")
+@query("graph_recall_summed", f"$BASE, {SEEDS}, {GRAPH_REC} SELECT * FROM rec")
 def graph_recall_summed(s, d):
     seq = S.recent_positives(s, d)
     return C.recall_from_edges(C.seeds(seq), B.item_graph(seq), seq, F.lit(1.0), 10, 30, "sum", 0.05)
@@ -416,7 +425,7 @@ PARTS = f"""{CFREC}, {PROFILE}, cb AS (SELECT category, item_id, coalesce(pop, 0
 catrec AS (SELECT user_id, item_id, score, place rank FROM (SELECT p.user_id, b.item_id, round(b.pop * (1 + p.share) + 0.01 * b.recent_pop, 6) score, row_number() OVER (PARTITION BY p.user_id ORDER BY round(b.pop * (1 + p.share) + 0.01 * b.recent_pop, 6) DESC, b.item_id) AS place FROM profile p JOIN cb b USING (category) LEFT JOIN seq x ON x.user_id = p.user_id AND x.item_id = b.item_id WHERE x.user_id IS NULL QUALIFY place <= 20)),
 ph AS (SELECT item_id, pop FROM pop ORDER BY pop DESC, item_id LIMIT 40), poprec AS (SELECT u.user_id, ph.item_id, ph.pop, row_number() OVER (PARTITION BY u.user_id ORDER BY ph.pop DESC, ph.item_id) AS rank FROM (SELECT DISTINCT user_id FROM seq) u CROSS JOIN ph LEFT JOIN seq x ON x.user_id = u.user_id AND x.item_id = ph.item_id WHERE x.user_id IS NULL QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY ph.pop DESC, ph.item_id) <= 20),
 parts AS (SELECT user_id, item_id, score, rank, 'itemcf' source, 0 src_no FROM cfrec UNION ALL SELECT user_id, item_id, score / 100, rank, 'category', 1 FROM catrec UNION ALL SELECT user_id, item_id, pop / 200.0, rank, 'popular', 2 FROM poprec),
-merged AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, round(sum(score), 6) score, string_agg(source, ',' ORDER BY src_no) sources, count(*) n_sources FROM parts GROUP BY ALL)),
+merged AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM (SELECT user_id, item_id, sum(CAST(floor(score * 1e6 + 0.5) AS BIGINT)) / 1e6 score, string_agg(source, ',' ORDER BY src_no) sources, count(*) n_sources FROM parts GROUP BY ALL)),
 coarse AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coarse DESC, item_id) coarse_rank FROM (SELECT user_id, item_id, count(*) n_sources, string_agg(source, ',' ORDER BY source) sources,
   round(sum(CASE source WHEN 'itemcf' THEN 1.5 WHEN 'popular' THEN 0.5 ELSE 1 END * least(100, greatest(0, score)) + CASE source WHEN 'itemcf' THEN 0.1 ELSE 0 END + 1 / (60.0 + rank)) + (count(*) - 1) * 0.05 + 3.7e-10, 6) coarse FROM parts GROUP BY ALL)),
 cut AS (SELECT c.*, coalesce(decay_pop, 0) dp FROM coarse c LEFT JOIN pop USING (item_id) WHERE coarse_rank <= 40),
@@ -588,7 +597,7 @@ def source_jaccard(s, d):
     return E.source_jaccard(_long(s, d))
 
 
-@query("method_source_overlap")
+@query("method_source_overlap", f"$BASE, {CFREC}, {CO_VISIT_REC} SELECT count(*) n_rows, count(h) shared, round(count(h) / count(*), 6) overlap FROM cfrec LEFT JOIN (SELECT user_id, item_id, 1 h FROM rec) USING (user_id, item_id)")
 def method_source_overlap(s, d):
     return B.source_overlap(_cf_recall(s, d), _graph_recall(s, d))
 
@@ -641,7 +650,11 @@ def _posts(s, d):
     return posts, T.query_tokens(S.table(s, d, "benchmark"), "item_id", "text"), stats["n"], stats["a"]
 
 
-@query("bm25_retrieval", f"WITH {POSTS}, n AS (SELECT count(*) n, avg(len(t)) a FROM docs), f AS (SELECT token, count(*) df FROM post GROUP BY 1), sc AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) score FROM q JOIN post USING (token) JOIN f USING (token), n GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) rank FROM sc QUALIFY rank <= 10")
+BM25 = f"WITH {POSTS}, n AS (SELECT count(*) n, avg(len(t)) a FROM docs), f AS (SELECT token, count(*) df FROM post GROUP BY 1), sc AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) score FROM q JOIN post USING (token) JOIN f USING (token), n GROUP BY ALL)"
+BM25_TOP = "SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) rank FROM sc QUALIFY rank <= {k}"
+
+
+@query("bm25_retrieval", f"{BM25} {BM25_TOP.format(k=10)}")
 def bm25_retrieval(s, d):
     posts, q, n, a = _posts(s, d)
     return T.bm25(posts, q, 10, n, a)
@@ -661,7 +674,8 @@ def hybrid_fusion(s, d):
     return T.weighted_fusion(lex, dense, ["query", "doc"]).join(rrf, ["query", "doc"])
 
 
-@query("evidence_quotas")
+@query("evidence_quotas", f"""{BM25}, ev AS (SELECT query, doc % 20 item_id, CAST(doc % 3 AS VARCHAR) field, doc chunk_no, score FROM ({BM25_TOP.format(k=50)})), one AS (SELECT *, row_number() OVER (PARTITION BY query, item_id, field ORDER BY score DESC, chunk_no) field_rank FROM ev QUALIFY field_rank <= 2)
+SELECT *, row_number() OVER (PARTITION BY query, item_id ORDER BY score DESC, field, chunk_no) item_rank FROM one QUALIFY item_rank <= 4""")
 def evidence_quotas(s, d):
     posts, q, n, a = _posts(s, d)
     ev = T.bm25(posts, q, 50, n, a).select("query", (F.col("doc") % 20).alias("item_id"), (F.col("doc") % 3).cast("string").alias("field"), F.col("doc").alias("chunk_no"), "score")
