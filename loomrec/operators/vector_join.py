@@ -59,21 +59,8 @@ def _best(query: np.ndarray, item: np.ndarray, scores: np.ndarray, k: int, least
     return pd.DataFrame({"query": query[row[keep]], "item": item[col[keep]], "score": value[keep]})
 
 
-def block_top_k(queries: DataFrame, items: DataFrame, k: int, *, seen: DataFrame | None = None, drop_self: bool = False, least: float = 0.0, rows: int = BLOCK_ROWS) -> DataFrame:
-    """(query, item, score, rank): the k items of the greatest cosine (six decimals, above ``least``) for every query.
-
-    queries, items: (id, vector) of ``usable``. seen: (query, item) pairs that take no place; each goes to the one pair of blocks that
-    scores it. drop_self: equal ids aren't compared. Equal scores go by the smaller item. A repeated id of the items counts as often
-    as it occurs. No queries or no items: no rows.
-    """
-    n_q, n_i = _blocks(queries, rows), _blocks(items, rows)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asking = queries.select(_block(F.col("id"), n_q).alias("a"), every(n_i).alias("b"), "id", "vector", F.lit(None).cast("long").alias("seen"))
-    if seen is not None:
-        s = seen.select(F.col("query").cast("long").alias("query"), F.col("item").cast("long").alias("item")).filter("query is not null and item is not null")
-        asking = asking.unionByName(s.select(
-            _block(F.col("query"), n_q).alias("a"), _block(F.col("item"), n_i).alias("b"), F.col("query").alias("id"), F.lit(None).cast("array<double>").alias("vector"), F.col("item").alias("seen")))
-    offered = items.select(every(n_q).alias("a"), _block(F.col("id"), n_i).alias("b"), "id", "vector")
+def block_scores(k: int, drop_self: bool, least: float):
+    """Scores one block of queries (id, vector; or id and an item seen) against one block of items (id, vector): k rows a query."""
 
     def score(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         asked, known = left[left["seen"].isna()], left[left["seen"].notna()]
@@ -96,7 +83,26 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, *, seen: DataFrame
             parts.append(_best(ids, i_id, s, k, least))
         return pd.concat(parts)
 
-    found = asking.groupBy("a", "b").cogroup(offered.groupBy("a", "b")).applyInPandas(score, "query long, item long, score double")
+    return score
+
+
+def block_top_k(queries: DataFrame, items: DataFrame, k: int, *, seen: DataFrame | None = None, drop_self: bool = False, least: float = 0.0, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query, item, score, rank): the k items of the greatest cosine (six decimals, above ``least``) for every query.
+
+    queries, items: (id, vector) of ``usable``. seen: (query, item) pairs that take no place; each goes to the one pair of blocks that
+    scores it. drop_self: equal ids aren't compared. Equal scores go by the smaller item. A repeated id of the items counts as often
+    as it occurs. No queries or no items: no rows.
+    """
+    n_q, n_i = _blocks(queries, rows), _blocks(items, rows)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asking = queries.select(_block(F.col("id"), n_q).alias("a"), every(n_i).alias("b"), "id", "vector", F.lit(None).cast("long").alias("seen"))
+    if seen is not None:
+        s = seen.select(F.col("query").cast("long").alias("query"), F.col("item").cast("long").alias("item")).filter("query is not null and item is not null")
+        asking = asking.unionByName(s.select(
+            _block(F.col("query"), n_q).alias("a"), _block(F.col("item"), n_i).alias("b"), F.col("query").alias("id"), F.lit(None).cast("array<double>").alias("vector"), F.col("item").alias("seen")))
+    offered = items.select(every(n_q).alias("a"), _block(F.col("id"), n_i).alias("b"), "id", "vector")
+
+    found = asking.groupBy("a", "b").cogroup(offered.groupBy("a", "b")).applyInPandas(block_scores(k, drop_self, least), "query long, item long, score double")
     return top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
 
 
