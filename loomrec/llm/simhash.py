@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomrec.llm.common import small_batches, stored
@@ -20,6 +21,8 @@ BITS, SEED, SHINGLE_WORDS, MAX_DIFFERING = 64, 42, 4, 4
 SHINGLE_CHUNK = 50_000
 #: A pair at similarity 0.8 shares none of 20 bands of 5 minima with a chance of 0.0004.
 SIMILAR_WORDS, BANDS, BAND_ROWS, MINIMA_CHUNK = 5, 20, 5, 1024
+#: One head of a band is compared in the first round, then this many times as many in each further one.
+HEAD_GROWTH = 8
 #: Keys of texts are broadcast if they have been counted to be at most this many (of 8 bytes); else they are shuffled.
 BROADCAST_ROWS = 1_000_000
 _DRAWN = np.random.default_rng(SEED)
@@ -150,23 +153,30 @@ def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def similar_roots(docs: DataFrame, marked: DataFrame, near: DataFrame) -> DataFrame:
     """(node, root) of every fingerprint linked by ``near`` or by similar texts that share a band.
 
-    Only texts of components that are still apart are compared: first each of a band's texts with its smallest, which
-    joins a large group of near copies without its square of pairs, then all pairs of the components that this leaves.
+    Works in rounds over the bands whose texts lie in several components. In each, a few texts of a band, its heads, are compared with
+    the band's texts of other components and then leave it, as they have met all of them; components are built anew before the next
+    round. A group of near copies is joined by its first head. Heads grow by HEAD_GROWTH a round, so a band of n texts
+    takes some log n rounds. Every two texts of a band are compared or found in one component before.
     """
     near = stored(near, "near-roots")
-    within = near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    rows = stored(apart(marked.select("fp", "text_no", F.explode("bands").alias("key")), near), "bands")
-    head = rows.groupBy("key").agg(F.min(F.struct("root", "text_no", "fp")).alias("h"))
-    pairs = rows.join(head, "key").filter("h.root != root").select(F.col("h.text_no").alias("ta"), F.col("h.fp").alias("a"), F.col("text_no").alias("tb"), F.col("fp").alias("b"))
-    pairs = stored(pairs.distinct(), "first-pairs")
-    first = stored(similar_links(docs, pairs), "first-links")
-    roots = stored(components(within.unionByName(first)), "first-roots")
-    rows = stored(apart(rows.select("fp", "text_no", "key"), roots), "bands")
-    left = rows.select("key", F.col("root").alias("ra"), F.col("text_no").alias("ta"), F.col("fp").alias("a"))
-    right = rows.select("key", F.col("root").alias("rb"), F.col("text_no").alias("tb"), F.col("fp").alias("b"))
-    done = pairs.select("ta", "tb").unionByName(pairs.select(F.col("tb").alias("ta"), F.col("ta").alias("tb")))
-    rest = left.join(right, "key").filter("ra < rb").select("ta", "a", "tb", "b").distinct().join(done, ["ta", "tb"], "left_anti")
-    return components(within.unionByName(first).unionByName(similar_links(docs, stored(rest, "further-pairs"))))
+    links = near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    rows, roots, done, heads = marked.select("fp", "text_no", F.explode("bands").alias("key")), near, None, 1
+    while True:
+        rows = stored(apart(rows.select("fp", "text_no", "key"), roots), "bands")
+        if rows.isEmpty():
+            return roots
+        place = F.row_number().over(W.partitionBy("key").orderBy("root", "text_no", "fp"))
+        head = stored(rows.withColumn("place", place).filter(F.col("place") <= heads), "heads")
+        left = head.select("key", F.col("root").alias("ra"), F.col("text_no").alias("ta"), F.col("fp").alias("a"))
+        right = rows.select("key", F.col("root").alias("rb"), F.col("text_no").alias("tb"), F.col("fp").alias("b"))
+        ordered = F.when(F.col("ta") < F.col("tb"), F.struct("ta", "a", "tb", "b")).otherwise(F.struct(F.col("tb").alias("ta"), F.col("b").alias("a"), F.col("ta").alias("tb"), F.col("a").alias("b")))
+        pairs = left.join(right, "key").filter("ra != rb").select(ordered.alias("p")).select("p.*").distinct()
+        pairs = stored(pairs if done is None else pairs.join(done, ["ta", "tb"], "left_anti"), "pairs")
+        done = pairs.select("ta", "tb") if done is None else done.unionByName(pairs.select("ta", "tb"))
+        links = links.unionByName(stored(similar_links(docs, pairs), "similar-links"))
+        roots = stored(components(links), "similar-roots")
+        rows = rows.join(head.select("key", "text_no", "fp"), ["key", "text_no", "fp"], "left_anti")
+        heads *= HEAD_GROWTH
 
 
 def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: tuple[str, ...] = ("doc_id",), similar: bool = True) -> DataFrame:
