@@ -106,6 +106,12 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, *, seen: DataFrame
     return top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
 
 
+def vector_top_k(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """``block_top_k`` of any number of queries, self left out. Vectors of another size than the longest are left out, as unusable ones are."""
+    dims = vectors.agg(F.max(F.size(column)).alias("d")).first()["d"] or 0
+    return block_top_k(usable(queries, key, column, dims), usable(vectors, key, column, dims), k, drop_self=True, rows=rows)
+
+
 @dataclass(frozen=True)
 class Tower:
     """A residual layer: x + second . max(0, first . x + first_bias) + second_bias. Its size is the model's, not the data's."""

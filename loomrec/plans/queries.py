@@ -14,6 +14,7 @@ from loomrec.operators import events as V
 from loomrec.operators import ranking as R
 from loomrec.operators import recall as B
 from loomrec.operators import retrieval as T
+from loomrec.operators import vector_join as N
 from loomrec.sources import star as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -685,7 +686,7 @@ def evidence_quotas(s, d):
 @query("vector_neighbours", "SELECT query, item, rank FROM (SELECT a.vec_id query, b.vec_id item, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) DESC, b.vec_id) rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0) WHERE rank <= 10")
 def vector_neighbours(s, d):
     v = S.table(s, d, "embeddings")
-    return T.vector_top_k(v, v.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "item", "rank")
+    return N.vector_top_k(v, v.filter("vec_id % 100 = 0"), "vec_id", "embedding", 10).select("query", "item", "rank")
 
 
 # events and projections

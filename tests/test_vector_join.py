@@ -46,6 +46,16 @@ def test_unusable_vectors_and_empty_sides(spark):
     assert [(r["query"], r["item"], r["score"]) for r in N.block_top_k(v, v, 3, drop_self=True).orderBy("query").collect()] == [(1, 8, 0.707107), (8, 1, 0.707107)]
 
 
+def test_any_number_of_queries(spark):
+    rng = np.random.default_rng(8)
+    items = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(60)]
+    df = spark.createDataFrame([*items, (70, [1.0]), (71, None)], SCHEMA)
+    good = [(i, v) for i, v in items if any(v)]
+    got = {tuple(r) for r in N.vector_top_k(df, df, "id", "vector", 5, rows=16).select("query", "item", "score", "rank").collect()}
+    assert got == brute(good, good, 5, drop_self=True)
+    assert N.vector_top_k(df.limit(0), df, "id", "vector", 5).count() == N.vector_top_k(df, df.limit(0), "id", "vector", 5).count() == 0
+
+
 def test_dense_recall_and_reasons(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None)], "item_id long, vector array<double>")
     seeds = spark.createDataFrame([(10, 1, 1), (10, 2, 2), (11, 4, 1), (12, 9, 1), (13, 1, 1), (13, 3, 2)], "user_id long, item_id long, seed_rank int")
