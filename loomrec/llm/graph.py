@@ -19,7 +19,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (columns a, b): root is the smallest node it reaches.
 
     Every round groups and joins on nodes with map-side minima, so a node with many links is spread by the skew join;
-    nothing but two numbers per round reaches the driver. No links, no rows.
+    nothing but two numbers per round reaches the driver: all joins are hinted to shuffle, as a broadcast of each round's side
+    would pass through it. No links, no rows.
     """
     edges = stored(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = _state(edges)
@@ -28,9 +29,9 @@ def components(links: DataFrame) -> DataFrame:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(low.hint("merge"), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = stored(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
         drop_stored(edges)
         edges, after = following, _state(following)

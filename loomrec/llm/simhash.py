@@ -118,7 +118,7 @@ def fingerprint_links(classes: DataFrame, max_differing: int = MAX_DIFFERING) ->
     right = v.filter("side != 0").select(F.col("fp").alias("b"), F.col("key").alias("kb"), F.col("side").alias("sb"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_differing
     sides = ((F.col("sa") == 0) & (F.col("sb") == 1)) | ((F.col("sa") == 2) & (F.col("sb") == 2) & (F.col("a") < F.col("b")))
-    return left.join(right, (F.col("ka") == F.col("kb")) & sides & close).select("a", "b")
+    return left.join(right.hint("merge"), (F.col("ka") == F.col("kb")) & sides & close).select("a", "b")
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -138,16 +138,16 @@ def similar_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     asked = stored(pairs.select(F.explode(F.array("ta", "tb")).alias("text_no")).distinct(), "asked")
     side = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     sets = stored(shingle_sets(docs.select("text_no", "text").join(side, "text_no", "left_semi").dropDuplicates(["text_no"])), "shingle-sets")
-    left = pairs.join(sets.select(F.col("text_no").alias("ta"), F.col("shingles").alias("sa")), "ta")
-    both = left.join(sets.select(F.col("text_no").alias("tb"), F.col("shingles").alias("sb")), "tb")
+    left = pairs.join(sets.select(F.col("text_no").alias("ta"), F.col("shingles").alias("sa")).hint("merge"), "ta")
+    both = left.join(sets.select(F.col("text_no").alias("tb"), F.col("shingles").alias("sb")).hint("merge"), "tb")
     return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select("a", "b")
 
 
 def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows (fp, text_no, key) with their roots whose key is found in more than one component, each once."""
-    placed = rows.join(roots, F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"), "text_no", "fp")
+    placed = rows.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"), "text_no", "fp")
     keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    return placed.join(keys, "key", "left_semi").distinct()
+    return placed.join(keys.hint("merge"), "key", "left_semi").distinct()
 
 
 def similar_roots(docs: DataFrame, marked: DataFrame, near: DataFrame) -> DataFrame:
@@ -170,12 +170,12 @@ def similar_roots(docs: DataFrame, marked: DataFrame, near: DataFrame) -> DataFr
         left = head.select("key", F.col("root").alias("ra"), F.col("text_no").alias("ta"), F.col("fp").alias("a"))
         right = rows.select("key", F.col("root").alias("rb"), F.col("text_no").alias("tb"), F.col("fp").alias("b"))
         ordered = F.when(F.col("ta") < F.col("tb"), F.struct("ta", "a", "tb", "b")).otherwise(F.struct(F.col("tb").alias("ta"), F.col("b").alias("a"), F.col("ta").alias("tb"), F.col("a").alias("b")))
-        pairs = left.join(right, "key").filter("ra != rb").select(ordered.alias("p")).select("p.*").distinct()
-        pairs = stored(pairs if done is None else pairs.join(done, ["ta", "tb"], "left_anti"), "pairs")
+        pairs = left.join(right.hint("merge"), "key").filter("ra != rb").select(ordered.alias("p")).select("p.*").distinct()
+        pairs = stored(pairs if done is None else pairs.join(done.hint("merge"), ["ta", "tb"], "left_anti"), "pairs")
         done = pairs.select("ta", "tb") if done is None else done.unionByName(pairs.select("ta", "tb"))
         links = links.unionByName(stored(similar_links(docs, pairs), "similar-links"))
         roots = stored(components(links), "similar-roots")
-        rows = rows.join(head.select("key", "text_no", "fp"), ["key", "text_no", "fp"], "left_anti")
+        rows = rows.join(head.select("key", "text_no", "fp").hint("merge"), ["key", "text_no", "fp"], "left_anti")
         heads *= HEAD_GROWTH
 
 
@@ -186,17 +186,18 @@ def near_duplicates(docs: DataFrame, max_differing: int = MAX_DIFFERING, keep: t
     Equal fingerprints are one class before anything is joined, so copies cost one row however many they are; links and
     components run on classes. Null and empty texts have fingerprint zero and are one class; rows that share a doc_id
     each get a row; an empty table gives none; a component of null ids alone has a null id. Tables in the shared folder
-    hold fingerprints and links, so nothing is hashed twice.
+    hold fingerprints and links, so nothing is hashed twice. Joins are hinted to shuffle: classes and links grow with the
+    documents, and a broadcast would pass them whole through the driver.
     """
     numbered = docs.withColumn("text_no", F.xxhash64("text")) if similar else docs
     marked = stored(fingerprints(numbered, [*keep, *["text_no"] * similar], banded=similar), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "classes")
     roots = components(fingerprint_links(classes, max_differing))
     roots = similar_roots(numbered, marked, roots) if similar else roots
-    placed = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
+    placed = classes.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"), F.col("node").isNotNull().alias("linked"))
     firsts = placed.filter("linked").groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    of_class = placed.join(firsts, "root", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
-    return marked.join(of_class, "fp").select(*keep, "fp", "component_id")
+    of_class = placed.join(firsts.hint("merge"), "root", "left").select("fp", F.coalesce("component_id", "first_doc").alias("component_id"))
+    return marked.join(of_class.hint("merge"), "fp").select(*keep, "fp", "component_id")
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:

@@ -54,3 +54,10 @@ def test_crowded_bands(spark, monkeypatch, growth):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
     want = brute(texts) | {600: 500}
     assert got == want and len(set(want.values())) > 15
+
+
+def test_links_and_classes_do_not_pass_through_the_driver(spark):
+    df = spark.createDataFrame([(i, f"one two three four five {i % 7}") for i in range(40)], "doc_id long, text string")
+    out = simhash.near_duplicate_digest(df)
+    assert out.count() == 40
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
