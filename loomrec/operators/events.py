@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomrec.operators.cleaning import first_by
+from loomrec.operators.streamed import in_order
 
 CHANGING = ("LIKE", "DISLIKE", "REVERSAL")
 SESSION_TTL_HOURS, PROFILE_TTL_DAYS = 24, 180
@@ -96,17 +96,15 @@ def availability(orders_log: DataFrame) -> DataFrame:
 def guarded_stock(log: DataFrame, opening: int) -> DataFrame:
     """Replays lock requests per item in order: one that exceeds what is left is refused and takes nothing."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, accepted, refused = opening, 0, 0
-        for qty in pdf.sort_values("ord")["qty"]:
-            if qty <= left:
-                left -= int(qty)
+    def run(rows: list[tuple]) -> list[tuple]:
+        left, accepted = opening, 0
+        for _, qty, _ in rows:
+            if qty is not None and qty <= left:
+                left -= qty
                 accepted += 1
-            else:
-                refused += 1
-        return pd.DataFrame([(int(pdf["item_id"].iloc[0]), left, accepted, refused)], columns=["item_id", "available", "accepted", "refused"])
+        return [(rows[0][0], left, accepted, len(rows) - accepted)]
 
-    return log.groupBy("item_id").applyInPandas(run, "item_id long, available long, accepted long, refused long")
+    return in_order(log.select("item_id", "qty", "ord"), "item_id", [F.col("ord").asc_nulls_last()], run, "item_id long, available long, accepted long, refused long")
 
 
 def coupon_matches(orders: DataFrame, coupons: DataFrame) -> DataFrame:
