@@ -23,6 +23,8 @@ SHINGLE_CHUNK = 50_000
 SIMILAR_WORDS, BANDS, BAND_ROWS, MINIMA_CHUNK = 5, 20, 5, 1024
 #: One head of a band is compared in the first round, then this many times as many in each further one.
 HEAD_GROWTH = 8
+#: A band of more texts than CROWD is left for the rare shingles of its texts. Shingles are counted by ORDER_CELLS remainders of their hashes.
+CROWD, ORDER_CELLS = 8, 1 << 20
 #: Keys of texts are broadcast if they have been counted to be at most this many (of 8 bytes); else they are shuffled.
 BROADCAST_ROWS = 1_000_000
 _DRAWN = np.random.default_rng(SEED)
@@ -144,33 +146,79 @@ def similar_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def apart(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows (fp, text_no, key) with their roots whose key is found in more than one component, each once."""
-    placed = rows.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"), "text_no", "fp")
+    """The rows (fp, text_no, key, n, at) with their roots whose key is found in more than one component, each once."""
+    placed = rows.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("key", F.coalesce("root", "fp").alias("root"), "text_no", "fp", "n", "at")
     keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
     return placed.join(keys.hint("merge"), "key", "left_semi").distinct()
 
 
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(text_no, key, n, at): of each text's n distinct shingles the rarest fifth and one more, with their places from 0.
+
+    Texts with a Jaccard similarity of 0.8 share at least 0.8 of either one's shingles, so in any one order of all shingles the first that
+    they share is among these of both. The order is by the count of a shingle's cell, then by hash: a fixed number of counts is sent
+    to the tasks, whatever the input; what many texts share comes last.
+    """
+    cell = F.pmod("s", F.lit(ORDER_CELLS))
+    found = sets.select(F.explode("shingles").alias("s")).groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(ORDER_CELLS, np.int64)
+    counts[found["cell"].to_numpy()] = found["n"].to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text_no, keys, sizes, places = [], [], [], []
+            for no, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = shingles.values.to_numpy(zero_copy_only=False)
+                first = own[np.lexsort((own, counts[own % ORDER_CELLS]))][: len(own) - (4 * len(own) + 4) // 5 + 1]
+                text_no.append(np.full(len(first), no, np.int64))
+                keys.append(first)
+                sizes.append(np.full(len(first), len(own), np.int32))
+                places.append(np.arange(len(first), dtype=np.int32))
+            columns = [np.concatenate([*c, np.zeros(0, d)]).astype(d) for c, d in ((text_no, np.int64), (keys, np.int64), (sizes, np.int32), (places, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["text_no", "key", "n", "at"])
+
+    return sets.select("text_no", "shingles").mapInArrow(run, "text_no long, key long, n int, at int")
+
+
+def uncrowded(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (fp, text_no, key, n, at) of bands of at most CROWD texts; the texts of all others come with their rare shingles as keys
+    in place of those bands, by which no similar pair is lost."""
+    columns = ["fp", "text_no", "key", "n", "at"]
+    crowded = stored(rows.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > CROWD).select("key"), "crowded")
+    few = rows.join(crowded.hint("merge"), "key", "left_anti").select(*columns)
+    inside = stored(rows.join(crowded.hint("merge"), "key", "left_semi").select("fp", "text_no").distinct(), "crowded-texts")
+    if inside.isEmpty():
+        return few
+    texts = docs.select("text_no", "text").join(inside.select("text_no").hint("merge"), "text_no", "left_semi").dropDuplicates(["text_no"])
+    rare = rare_shingles(stored(shingle_sets(texts), "crowded-shingles"))
+    return few.unionByName(rare.join(inside.hint("merge"), "text_no").select(*columns))
+
+
 def similar_roots(docs: DataFrame, marked: DataFrame, near: DataFrame) -> DataFrame:
     """(node, root) of every fingerprint linked by ``near`` or by similar texts that share a band.
 
-    Works in rounds over the bands whose texts lie in several components. In each, a few texts of a band, its heads, are compared with
+    Crowded bands give way to the rare shingles of their texts (see ``uncrowded``), so texts that merely share a common passage don't meet.
+    Works in rounds over the keys whose texts lie in several components. In each, a few texts of a band, its heads, are compared with
     the band's texts of other components and then leave it, as they have met all of them; components are built anew before the next
     round. A group of near copies is joined by its first head. Heads grow by HEAD_GROWTH a round, so a band of n texts
     takes some log n rounds. Every two texts of a band are compared or found in one component before.
     """
     near = stored(near, "near-roots")
     links = near.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    rows, roots, done, heads = marked.select("fp", "text_no", F.explode("bands").alias("key")), near, None, 1
+    banded = marked.select("fp", "text_no", F.explode("bands").alias("key"), F.lit(0).alias("n"), F.lit(0).alias("at"))
+    rows, roots, done, heads = uncrowded(docs, stored(apart(banded, near), "bands")), near, None, 1
     while True:
-        rows = stored(apart(rows.select("fp", "text_no", "key"), roots), "bands")
+        rows = stored(apart(rows.select("fp", "text_no", "key", "n", "at"), roots), "bands")
         if rows.isEmpty():
             return roots
         place = F.row_number().over(W.partitionBy("key").orderBy("root", "text_no", "fp"))
         head = stored(rows.withColumn("place", place).filter(F.col("place") <= heads), "heads")
-        left = head.select("key", F.col("root").alias("ra"), F.col("text_no").alias("ta"), F.col("fp").alias("a"))
-        right = rows.select("key", F.col("root").alias("rb"), F.col("text_no").alias("tb"), F.col("fp").alias("b"))
+        left = head.select("key", F.col("root").alias("ra"), F.col("text_no").alias("ta"), F.col("fp").alias("a"), F.col("n").alias("na"), F.col("at").alias("xa"))
+        right = rows.select("key", F.col("root").alias("rb"), F.col("text_no").alias("tb"), F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("at").alias("xb"))
+        # the first shingle that similar texts share leaves enough of both after it
+        enough = 9 * F.least(F.col("na") - F.col("xa"), F.col("nb") - F.col("xb")) >= 4 * (F.col("na") + F.col("nb"))
         ordered = F.when(F.col("ta") < F.col("tb"), F.struct("ta", "a", "tb", "b")).otherwise(F.struct(F.col("tb").alias("ta"), F.col("b").alias("a"), F.col("ta").alias("tb"), F.col("a").alias("b")))
-        pairs = left.join(right.hint("merge"), "key").filter("ra != rb").select(ordered.alias("p")).select("p.*").distinct()
+        pairs = left.join(right.hint("merge"), "key").filter(enough & (F.col("ra") != F.col("rb"))).select(ordered.alias("p")).select("p.*").distinct()
         pairs = stored(pairs if done is None else pairs.join(done.hint("merge"), ["ta", "tb"], "left_anti"), "pairs")
         done = pairs.select("ta", "tb") if done is None else done.unionByName(pairs.select("ta", "tb"))
         links = links.unionByName(stored(similar_links(docs, pairs), "similar-links"))

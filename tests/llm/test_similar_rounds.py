@@ -61,3 +61,17 @@ def test_links_and_classes_do_not_pass_through_the_driver(spark):
     out = simhash.near_duplicate_digest(df)
     assert out.count() == 40
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_that_share_a_passage_are_not_paired(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(100000)}"
+    passage = [word() for _ in range(150)]
+    texts = {i: " ".join(passage + [word() for _ in range(60)]) for i in range(60)}
+    texts |= {60: texts[7] + " and a few words more"}
+    made, keep = [], simhash.stored
+    monkeypatch.setattr(simhash, "stored", lambda df, name: made.append((name, keep(df, name))) or made[-1][1])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    assert got == brute(texts) and got[60] == 7
+    assert sum(t.count() for name, t in made if name == "pairs") < 5 * len(texts)
