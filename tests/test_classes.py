@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 
+from pyspark.sql import functions as F
 
 from loomrec.operators.classes import best_members, class_heads
-from loomrec.operators.semantic import hashed_vectors, sparse_cosine
+from loomrec.operators.semantic import bm25f, hashed_vectors, sparse_cosine
 
 TITLES = ["red ring", "blue ring", "red bolt", "old plate ring", ""]
 
@@ -51,3 +53,26 @@ def test_sparse_cosine_of_copies(spark):
         want |= {(q, *x) for x in first([x for x in scores if x[0] > 0], 10)}
     assert found == want and len(want) > 300
     assert records < 30_000  # pairs of items: 40 queries times 1,600 keys in each task
+
+
+def test_bm25f_of_copies(spark):
+    rows = items(spark).collect()
+    texts = {r["item_id"]: ((r["title"] or "").split(), (r["category"] or "").lower().split()) for r in rows}
+    queries = spark.createDataFrame([(q, t) for q in range(0, 2000, 50) for t in sorted(set(texts[q][0] + texts[q][1]))], "query long, token string")
+    found, records = shuffled_records(spark, lambda: bm25f(items(spark), queries, {"title": 2.0, "category": 1.0}, 10).collect())
+    stats = items(spark).select(F.avg(F.size(F.expr("filter(split(lower(title), '[^a-z0-9]+'), t -> length(t) >= 2)"))), F.avg(F.size(F.expr("filter(split(lower(category), '[^a-z0-9]+'), t -> length(t) >= 2)")))).first()
+    weight = {}
+    for key, fields in texts.items():
+        for field, w, avg in zip(fields, (2.0, 1.0), stats):
+            for t in set(field):
+                weight[key, t] = weight.get((key, t), 0.0) + w * field.count(t) / (0.25 + 0.75 * len(field) / round(avg, 6))
+    df = {}
+    for _, t in weight:
+        df[t] = df.get(t, 0) + 1
+    want = set()
+    for q in range(0, 2000, 50):
+        asked = set(texts[q][0] + texts[q][1])
+        scores = [(round(sum(math.log(1 + (2000 - df[t] + 0.5) / (df[t] + 0.5)) * weight[key, t] / (1.2 + weight[key, t]) for t in sorted(asked) if (key, t) in weight), 6), key) for key in texts if any((key, t) in weight for t in asked)]
+        want |= {(q, *x) for x in first(scores, 10)}
+    assert {tuple(r) for r in found} == want
+    assert records < 10_000  # pairs of items: 40 queries times 2,000 items
