@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomrec.operators.classes import best_members, class_heads
 from loomrec.operators.posting_segments import bucket_of
-from loomrec.operators.recall import top_k
 from loomrec.operators.tables import drop_stored, stored
 from loomrec.sources.manifests import commit_manifest, new_folder, read_manifest, write_dealt
 
@@ -104,19 +104,27 @@ def score_intents(positions: DataFrame, intents: DataFrame, fields: list[Field],
     one phrase must stand in the record. Every kind's tokens ask; those of ``core`` weigh CORE_WEIGHT times. Records without any of an
     intent's tokens aren't scored. A phrase without tokens never stands. A repeated phrase counts as often as it occurs. Field
     scores are summed in millionths. Ties go to the smaller record.
+
+    Records with the same asked tokens in the same places are one class, and so are intents with the same phrases: scores are taken
+    between classes, and every distinct phrase is looked for once.
     """
     unknown = ~F.col("kind").isin(*KINDS)
     told = intents.select("query", F.when(unknown, F.raise_error(F.concat(F.lit("unknown kind "), "kind"))).otherwise(F.col("kind")).alias("kind"), "grp", terms(F.col("phrase")).alias("tokens"))
     # equal rows are told apart by a number per intent; an intent is a handful of phrases
     listed = told.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("kind", "grp", "tokens"))).alias("all"))
-    phrases = stored(listed.select("query", F.posexplode("all").alias("phrase_no", "p")).select("query", "phrase_no", "p.*"), "phrases")
+    listed = stored(listed, "intents")
+    alike = stored(listed.groupBy("all").agg(F.min("query").alias("like")), "alike-intents")
+    phrases = stored(alike.select(F.col("like").alias("query"), F.posexplode("all").alias("phrase_no", "p")).select("query", "phrase_no", "p.*"), "phrases")
     count = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
     needs = phrases.groupBy("query").agg(count("core").alias("n_core"), count("must").alias("n_must"), F.count_distinct(F.when(F.col("kind") == "any", F.coalesce("grp", F.lit(0)))).alias("n_any"), (count("category") > 0).alias("has_category"))
 
     asked = phrases.select("query", F.explode("tokens").alias("token"), F.when(F.col("kind") == "core", CORE_WEIGHT).otherwise(1.0).alias("role")).groupBy("query", "token").agg(F.max("role").alias("role"))
-    wanted = stored(positions.join(asked.select("token").distinct(), "token", "left_semi"), "wanted")  # read for counts, scores and phrases
-    tf = wanted.groupBy("doc", "field", "token").agg(F.count("*").alias("tf"))
-    df = tf.select("doc", "token").distinct().groupBy("token").agg(F.count("*").alias("df"))
+    wanted = positions.join(asked.select("token").distinct(), "token", "left_semi")
+    texts = stored(wanted.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "field", "token"))).alias("text")), "wanted")
+    heads = stored(class_heads(texts, ["text"], "doc", k), "record-classes")
+    wanted = heads.select(F.col("first").alias("doc"), "n", F.explode("text").alias("t")).select("doc", "n", "t.*")
+    tf = wanted.groupBy("doc", "n", "field", "token").agg(F.count("*").alias("tf"))
+    df = tf.select("doc", "n", "token").distinct().groupBy("token").agg(F.sum("n").alias("df"))
     weight = reduce(lambda acc, f: acc.when(F.col("field") == f[0], f[1].weight), enumerate(fields), F.when(F.lit(False), 0.0))
     part = F.col("role") * F.log(1.0 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (F.col("tf") * (1 + SATURATION) / (F.col("tf") + SATURATION)) * weight
     field = tf.join(df, "token").join(asked, "token").groupBy("query", "doc").agg((F.sum(_micro(part)) / 1_000_000).alias("field_score"))
@@ -126,7 +134,9 @@ def score_intents(positions: DataFrame, intents: DataFrame, fields: list[Field],
         kind == "core", F.when(title, CORE_TITLE - CORE_MISSING - CORE_NOT_IN_TITLE).otherwise(CORE_BODY - CORE_MISSING)
     ).when(kind == "negative", F.when(title, NEGATIVE_TITLE).otherwise(NEGATIVE_BODY)).otherwise(0)
     lasting = phrases.filter("kind <> 'description' and size(tokens) > 0")
-    hits = phrase_hits(wanted, lasting, fields).join(lasting.drop("tokens"), ["query", "phrase_no"])
+    spoken = lasting.groupBy("tokens").agg(F.min(F.struct("query", "phrase_no")).alias("p")).select("p.*", "tokens")
+    stand = spoken.join(phrase_hits(wanted, spoken, fields), ["query", "phrase_no"]).drop("query", "phrase_no")
+    hits = lasting.join(stand, "tokens").drop("tokens")
     met = hits.groupBy("query", "doc").agg(
         F.sum(points).alias("points"), count("must").alias("must_met"), F.count_distinct(F.when(kind == "any", F.coalesce("grp", F.lit(0)))).alias("any_met"),
         _any((kind == "category") & cat).alias("category_met"), _any(kind == "negative").alias("negated"),
@@ -137,5 +147,6 @@ def score_intents(positions: DataFrame, intents: DataFrame, fields: list[Field],
     required = (zero("must_met") == F.col("n_must")) & (zero("any_met") == F.col("n_any"))
     extra = zero("points") + F.col("n_core") * (CORE_MISSING + CORE_NOT_IN_TITLE) + F.when(in_category, CATEGORY).when(F.col("has_category"), CATEGORY_MISSING).otherwise(0) + F.when(required, 0).otherwise(REQUIRED_MISSING)
     strict = required & ~negated & (in_category | ~F.col("has_category"))
-    scored = j.select("query", "doc", F.round(F.col("field_score") + extra, 6).alias("score"), "field_score", required.alias("required_pass"), strict.alias("strict_pass"))
-    return top_k(scored, ["query"], [F.col("score").desc(), F.col("doc")], k)
+    scored = j.select("query", F.col("doc").alias("first"), F.round(F.col("field_score") + extra, 6).alias("score"), "field_score", required.alias("required_pass"), strict.alias("strict_pass"))
+    best = best_members(scored, heads, ["query"], "doc", k).withColumnRenamed("query", "like")
+    return listed.join(alike, "all").join(best, "like").select("query", "doc", "score", "field_score", "required_pass", "strict_pass", "rank")

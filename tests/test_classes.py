@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from loomrec.operators import description_scoring as D
 from loomrec.operators.classes import best_members, class_heads
 from loomrec.operators.semantic import bm25f, hashed_vectors, sparse_cosine
 
@@ -76,3 +77,21 @@ def test_bm25f_of_copies(spark):
         want |= {(q, *x) for x in first(scores, 10)}
     assert {tuple(r) for r in found} == want
     assert records < 10_000  # pairs of items: 40 queries times 2,000 items
+
+
+def test_intents_of_copies(spark):
+    """40 like intents over 2,000 records of few texts give each other's rows, and those of one intent over the records alone."""
+    records = items(spark)
+    fields = [D.Field("title", 5.0, "title"), D.Field("category", 4.0, "category")]
+    positions = D.positional_postings(records, "item_id", fields).cache()
+    kinds = [("description", None, "red ring"), ("core", 0, "red"), ("intent", 0, "red ring"), ("category", 0, "small"), ("any", None, "ring"), ("negative", 0, "old plate")]
+    intents = spark.createDataFrame([(q, *x) for q in range(40) for x in kinds], "query long, kind string, grp int, phrase string")
+    found, records = shuffled_records(spark, lambda: D.score_intents(positions, intents, fields, 2000, 10).collect())
+    by = {}
+    for r in found:
+        by.setdefault(r["query"], []).append((r["rank"], r["doc"], r["score"], r["strict_pass"]))
+    assert sorted(by) == list(range(40)) and all(sorted(x) == sorted(by[0]) for x in by.values())
+    rows = items(spark).collect()
+    alike = sorted(r["item_id"] for r in rows if r["title"] == "red ring" and r["category"])
+    assert [x[1] for x in sorted(by[0])] == alike[:10] and all(x[3] for x in by[0])
+    assert records < 20_000  # pairs of items: 40 queries times 1,500 items
