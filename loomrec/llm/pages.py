@@ -1,10 +1,10 @@
-"""Main text of web pages: markup where a page marks its article, nearest-URL page differencing where it does not.
+"""Main text of web pages by nearest-URL page differencing, checked against the markup.
 
-Pages of a host stand in order of their URL path and query. A page without a marked article is aligned with its nearest
-different neighbours by longest common subsequence of text lines, and lines both share are deleted as template. Page
-differencing alone can't give whole articles: menus and adverts differ from page to page and stay, while articles repeat
-passages of each other and lose them (figures in the README). So lines in page furniture (menus, adverts, forms, comments
-...) are out, and lines inside an article element are the page's own.
+Pages of a host stand in order of their URL path and query. Every page is aligned with its nearest different neighbours by
+longest common subsequence of text lines, and lines both share are deleted as template. Page differencing alone can't give
+whole articles: menus and adverts differ from page to page and stay, while articles repeat passages of each other and lose
+them (figures in the README). So a check follows: lines in page furniture (menus, adverts, forms, comments ...) are out, and
+where a page marks its article, the article's deleted lines are restored and kept lines outside it are dropped.
 """
 
 from __future__ import annotations
@@ -218,8 +218,8 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def outlines(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, path, lines, places, page_hash, asks) of every page row: each page is parsed once. asks: the page has
-    text, and none of it is marked as an article."""
+    """(page_id, url, host, path, lines, places, page_hash, marked) of every page row: each page is parsed once. marked: some of its
+    text is marked as an article."""
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.list_(pa.string()), pa.list_(pa.int8()), pa.int64(), pa.bool_()]
@@ -228,13 +228,13 @@ def outlines(pages: DataFrame) -> DataFrame:
             for x in batch.column(4):
                 lines = page_lines(x.as_py() or "")
                 kept = [(t, p) for t, p in lines if p]
-                found.append(([t for t, _ in kept], [p for _, p in kept], line_hash("\n".join(t for t, _ in kept)), bool(kept) and all(p == 1 for _, p in kept)))
+                found.append(([t for t, _ in kept], [p for _, p in kept], line_hash("\n".join(t for t, _ in kept)), any(p == 2 for _, p in kept)))
             new = [pa.array(x, t) for x, t in zip(zip(*found), types)] if found else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], ["page_id", "url", "host", "path", "lines", "places", "page_hash", "asks"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], ["page_id", "url", "host", "path", "lines", "places", "page_hash", "marked"])
 
     host, path = url_parts(F.col("url"))
     keyed = pages.select("page_id", "url", host.alias("host"), path.alias("path"), F.coalesce("html", F.lit("")).alias("html"))
-    schema = "page_id long, url string, host string, path string, lines array<string>, places array<tinyint>, page_hash long, asks boolean"
+    schema = "page_id long, url string, host string, path string, lines array<string>, places array<tinyint>, page_hash long, marked boolean"
     return stored(keyed.mapInArrow(outline, schema), "outlines")
 
 
@@ -269,16 +269,16 @@ def shared_lines(own: tuple[list[int], list[int]], near: list[list[int]]) -> set
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
-    """(host, page_hash, shared): places of the lines that an asking page shares with its nearest different neighbours by URL.
+    """(host, page_hash, shared): places of the lines that a page shares with its nearest different neighbours by URL.
 
     Equal pages of a host are one row here. Only hashes of lines travel. Each block of ranks also gets the rows beside it, so
     a task holds one block, whatever the size of a host.
     """
     hashed = F.transform("lines", lambda t: F.xxhash64(t))
     sizes = F.transform("lines", lambda t: F.char_length(t))
-    one = pages.groupBy("host", "page_hash").agg(F.min("path").alias("path"), F.min_by(F.struct("lines", "asks"), "path").alias("page"))
-    rows = one.select("host", "path", "page_hash", "page.lines", "page.asks").select("host", "path", "page_hash", "asks", hashed.alias("hashes"), sizes.alias("sizes"))
-    by_url = ranked(rows)
+    rows = pages.filter(F.size("lines") > 0).select("host", "path", "page_hash", F.struct(hashed.alias("hashes"), sizes.alias("sizes")).alias("page"))
+    one = rows.groupBy("host", "page_hash").agg(F.min_by("page", "path").alias("page"), F.min("path").alias("path"))
+    by_url = ranked(one.select("host", "path", "page_hash", "page.*"))
     block = F.floor(F.col("rank") / BLOCK_PAGES)
     around = F.array_distinct(F.array(*[F.floor((F.col("rank") + d) / BLOCK_PAGES) for d in (-NEIGHBOURS, 0, NEIGHBOURS)]))
 
@@ -286,7 +286,7 @@ def template_lines(pages: DataFrame) -> DataFrame:
         rows = own.sort_by("rank").to_pylist()
         out = []
         for k, row in enumerate(rows):
-            if row["rank"] // BLOCK_PAGES != key[0].as_py() or not row["asks"]:
+            if row["rank"] // BLOCK_PAGES != key[0].as_py():
                 continue
             beside = [(common_prefix(row["path"], x["path"]), -abs(x["rank"] - row["rank"]), x["rank"], x["hashes"]) for x in rows[max(0, k - NEIGHBOURS) : k + NEIGHBOURS + 1] if x["rank"] != row["rank"] and x["host"] == row["host"]]
             shared = shared_lines((row["hashes"], row["sizes"]), [x[3] for x in sorted(beside, key=lambda x: (-x[0], -x[1], x[2]))])
@@ -307,23 +307,25 @@ def common_prefix(a: str, b: str) -> int:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page row: its article's blocks, or, where no article is marked, its open
-    blocks less those its nearest different neighbours share, joined by one space; character references decoded.
+    """(page_id, url, text, n_chars, n_template, n_restored, n_dropped) of every page row: its blocks less those its nearest different
+    neighbours share; where an article is marked, checked to be the article's. Joined by one space; character references decoded.
 
-    Null or empty html gives the empty text. A host with one page, or with copies of one page only, has no neighbour to differ
-    from and keeps its open lines. Rows that repeat get the same text; broken or deeply nested pages take time in proportion
+    n_template: blocks that differencing deletes; n_restored: those of them that the check puts back; n_dropped: blocks that it
+    takes out. Null or empty html gives the empty text. A host with one page, or with copies of one page only, has no neighbour to
+    differ from and keeps its open lines. Rows that repeat get the same text; broken or deeply nested pages take time in proportion
     to their length. The deleted places are broadcast if they have been counted to be few, else joined by shuffle.
     """
     small_batches(pages.sparkSession)
     found = outlines(pages)
-    lines, places = F.col("lines"), F.col("places")
-    article = F.array_join(F.filter(lines, lambda t, i: F.get(places, i) == 2), " ")
-    if found.filter("asks").isEmpty():
-        text = article
-    else:
-        template = template_lines(found)
-        side = F.broadcast(template) if template.count() <= BROADCAST_ROWS else template
-        found = found.join(side, F.col("asks") & (F.col("host") == F.col("t_host")) & (F.col("page_hash") == F.col("t_hash")), "left")
-        own = F.filter(lines, lambda t, i: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i))
-        text = F.when(F.col("asks"), F.array_join(own, " ")).otherwise(article)
-    return found.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
+    template = template_lines(found)
+    side = F.broadcast(template) if template.count() <= BROADCAST_ROWS else template
+    found = found.join(side, (F.col("host") == F.col("t_host")) & (F.col("page_hash") == F.col("t_hash")), "left")
+    shared = F.coalesce("shared", F.array().cast("array<int>"))
+    cut = lambda i: F.array_contains(shared, i)
+    outside = lambda i: F.col("marked") & (F.get("places", i) != 2)
+    inside = lambda i: F.col("marked") & (F.get("places", i) == 2)
+    count = lambda rule: F.size(F.filter("lines", lambda t, i: rule(i))).cast("long")
+    text = F.array_join(F.filter("lines", lambda t, i: inside(i) | ~cut(i) & ~outside(i)), " ")
+    counts = {"n_template": cut, "n_restored": lambda i: cut(i) & inside(i), "n_dropped": lambda i: ~cut(i) & outside(i)}
+    out = found.select("page_id", "url", text.alias("text"), *[count(rule).alias(name) for name, rule in counts.items()])
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), *counts)
