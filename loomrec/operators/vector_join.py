@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,8 @@ from loomrec.operators.tables import stored
 #: Rows of a block, and queries scored at once in it: 256 x 16,384 scores are 32 MB.
 BLOCK_ROWS = 16_384
 TILE = 256
+#: Blocks of a search by inner products of few components (about 3 and 12 MB at 8 of them), and items scored at once.
+PRODUCT_QUERIES, PRODUCT_ITEMS, PRODUCT_TILE = 65_536, 262_144, 4096
 
 
 def usable(vectors: DataFrame, key: str, column: str, dims: int) -> DataFrame:
@@ -106,6 +109,73 @@ def block_top_k(queries: DataFrame, items: DataFrame, k: int, *, seen: DataFrame
     return top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
 
 
+def product_scores(k: int, tile: int):
+    """The k items of the greatest inner product for each query of one block against one block of items.
+
+    Items come by falling length, a tile at a time. A query keeps the k best so far; what is below the last of them is passed over,
+    and a tile isn't scored for a query that its longest item can't help (product of lengths). All that a task needs is made in here, so
+    that workers need no module of the repository."""
+    kinds = {"query": np.int64, "item": np.int64, "score": np.float32}
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        return table.column("vector").combine_chunks().flatten().to_numpy().astype(np.float32).reshape(table.num_rows, -1)
+
+    def first(row: np.ndarray, item: np.ndarray, value: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k first of each row by falling value, then by item."""
+        order = np.lexsort((item, -value, row))
+        row, item, value = row[order], item[order], value[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return row[keep], item[keep], value[keep]
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({n: np.zeros(0, d) for n, d in kinds.items()})
+        q, v = matrix(left), matrix(right)
+        far = np.linalg.norm(v.astype(np.float64), axis=1)
+        order = np.argsort(-far, kind="stable")
+        v, far, ids = np.ascontiguousarray(v[order].T), far[order] * (1 + 1e-5), right.column("id").to_numpy()[order]
+        reach, q_ids, parts = np.linalg.norm(q.astype(np.float64), axis=1), left.column("id").to_numpy(), []
+        for at in range(0, len(q), TILE):
+            mine, length = q[at : at + TILE], reach[at : at + TILE]
+            bar = np.full(len(mine), -np.inf, np.float32)
+            best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
+            for i in range(0, len(ids), tile):
+                alive = np.flatnonzero(length * far[i] >= bar)
+                if not len(alive):
+                    break
+                s = mine[alive] @ v[:, i : i + tile]
+                least = bar[alive]
+                if s.shape[1] > k:
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]) if i == 0 else least
+                row, col = np.divmod(np.flatnonzero(s >= least[:, None]), s.shape[1])
+                if not len(row):
+                    continue
+                found = alive[row], ids[i + col], s[row, col]
+                best = first(*[np.concatenate(x) for x in zip(best, found)], k)
+                full = np.flatnonzero(np.bincount(best[0], minlength=len(mine)) >= k)
+                bar[full] = best[2][np.searchsorted(best[0], full, "right") - 1]
+            parts.append((q_ids[at + best[0]], best[1], best[2]))
+        return pa.table({n: np.concatenate(c).astype(d) for (n, d), c in zip(kinds.items(), zip(*parts))})
+
+    return score
+
+
+def product_top_k(queries: DataFrame, items: DataFrame, k: int, query_rows: int = PRODUCT_QUERIES, item_rows: int = PRODUCT_ITEMS, tile: int = PRODUCT_TILE) -> DataFrame:
+    """(query, item, score, rank): the k items of the greatest inner product for every query; equal ones go by the smaller item.
+
+    queries, items: (id, vector), all of as many components. All products of what can still be among the best are taken, in float32;
+    each pair of blocks is one group of a cogrouped shuffle and gives k rows a query, so no task holds a side.
+    """
+    n_q, n_i = _blocks(queries, query_rows), _blocks(items, item_rows)
+    n_q = max(n_q, -(-queries.sparkSession.sparkContext.defaultParallelism // n_i))  # a task for each core
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = [F.col("id").cast("long").alias("id"), "vector"]
+    asking = queries.select(_block(F.col("id"), n_q).alias("a"), every(n_i).alias("b"), *own).repartition(n_q * n_i, "a", "b")
+    asked = items.select(every(n_q).alias("a"), _block(F.col("id"), n_i).alias("b"), *own).repartition(n_q * n_i, "a", "b")
+    near = asking.groupBy("a", "b").cogroup(asked.groupBy("a", "b")).applyInArrow(product_scores(k, tile), "query long, item long, score float")
+    return top_k(near, ["query"], [F.col("score").desc(), F.col("item")], k)
+
+
 def vector_top_k(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int, rows: int = BLOCK_ROWS) -> DataFrame:
     """``block_top_k`` of any number of queries, self left out. Vectors of another size than the longest are left out, as unusable ones are."""
     dims = vectors.agg(F.max(F.size(column)).alias("d")).first()["d"] or 0
